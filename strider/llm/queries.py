@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, toxicity, warc
+from strider.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, toxicity, warc
 from strider.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_near_dedup": op5_near_dedup,
     "op6_bpe": op6_bpe,
     "op9_exact_dedup": op9_exact_dedup,
