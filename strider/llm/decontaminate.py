@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.shared import BROADCAST_BYTES, ascii_lower, keep, whole
+from strider.llm.shared import BROADCAST_BYTES, ascii_lower, keep, whole, without
 
 WINDOW, KGRAM = 13, 8
 #: Fixed: what separates words.
@@ -123,9 +123,8 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows, in docs' own columns."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_h").alias("_bad_h")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(whole(docs[text_col])) == bad["_bad_h"]), "left_anti")
+    """docs, whose ids are unique, without contaminated rows, in docs' own columns."""
+    return without(docs, contamination(docs, benchmark, id_col, text_col).where("contaminated").select("doc_id"), id_col)
 
 
 SQL = r"""

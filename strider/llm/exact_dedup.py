@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.shared import SPACES, keep, whole
+from strider.llm.shared import SPACES, keep, whole, without
 
 #: Runs at the leaves of the merge tree; a power of two.
 RUNS = 32
@@ -79,9 +79,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops, in docs' own columns."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs, whose ids are unique, without the rows that exact_groups drops, in docs' own columns."""
+    return without(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
 
 
 SQL = r"""

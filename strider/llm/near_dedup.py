@@ -26,14 +26,12 @@ from pyspark.sql import functions as F
 
 from strider.llm.components import connected
 from strider.llm.line_index import mix
-from strider.llm.shared import keep
+from strider.llm.shared import BROADCAST_IDS, keep, without
 
 PERMUTATIONS, B_BITS = 192, 2
 STAR_ROUNDS = 3
 #: Estimates this far under the threshold (over six standard errors) are not checked in full.
 MARGIN = 0.2
-#: Rows of 8 bytes up to which the wanted ids are broadcast.
-BROADCAST_IDS = 2_000_000
 _CACHE = 300_000
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -216,6 +214,5 @@ def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each near-duplicate group, in docs' own columns."""
-    gone = near_groups(docs, words, num, den).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs, whose ids are unique, with one document of each group, in docs' own columns."""
+    return without(docs, near_groups(docs, words, num, den).where(~F.col("kept")).select("doc_id"))

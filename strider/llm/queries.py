@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, toxicity, warc
+from strider.llm import bpe, decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, pii, secret_scan, toxicity, warc
 from strider.llm.shared import table
 
 
@@ -46,6 +46,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -62,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_near_dedup": op5_near_dedup,
     "op6_bpe": op6_bpe,
+    "op7_lm_score": op7_lm_score,
+    "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -13,6 +13,8 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A side may be broadcast up to this many bytes (counted before it is sent).
 BROADCAST_BYTES = 64 << 20
+#: The same for tables of one id, in rows.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +50,13 @@ def whole(c: Column | str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the ids of gone (its first column). Rows without an id can't be named and stay.
+
+    gone is counted first: up to BROADCAST_IDS ids go to all tasks, and no text is shuffled."""
+    ids = keep(gone.select(F.col(gone.columns[0]).alias("_gone")).where(F.col("_gone").isNotNull()).distinct(), "gone")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == F.col("_gone"), "left_anti")

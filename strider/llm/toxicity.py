@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strider.llm.shared import without
+
 MAX_EXAMPLES = 16_000
 MAX_TERMS = 1_500
 MIN_TERM_DOCS, MIN_CHI2 = 5, 15.0
@@ -262,6 +264,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the model rejects, in docs' own columns."""
-    bad = score(docs, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs, whose ids are unique, without the rows that the model rejects, in docs' own columns."""
+    return without(docs, score(docs, fit(docs, labels)).where("predicted = 1").select("doc_id"))

@@ -1,0 +1,35 @@
+import random
+
+import regex
+
+from strider.llm import secret_scan
+
+
+def test_candidates_and_forest_on_documents(spark, documents):
+    got = secret_scan.find(documents).collect()
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    pattern = regex.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+    want = {(i, m.start(), m.end()) for i, t in texts.items() for m in pattern.finditer(t) if any(c.isdigit() for c in m[0])}
+    assert {(r.doc_id, r.start, r.end) for r in got} == want
+    for r in got:  # planted: token = "<40 hex digits>"; card numbers are no secrets
+        if texts[r.doc_id][: r.start].endswith('token = "'):
+            assert r.is_secret
+        if r.kind == "digits":
+            assert not r.is_secret
+
+
+def test_held_out_accuracy_from_labelled_findings(spark):
+    rnd, rows = random.Random(4), []
+    for i in range(600):
+        value = "".join(rnd.choices("abcdefABCDEF0123456789+/xyzKLM", k=40)) + "7"
+        text = f'settings api_key = "{value}" end' if i % 2 else f"commit checksum/{value} of the example"
+        rows.append((i, text, "src"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.candidates(df, secret_scan.language(df)).selectExpr("*", "double(doc_id % 2) AS label")
+    got = secret_scan.find(df.where("doc_id >= 400"), found.where("doc_id < 400")).collect()
+    assert len(got) == 200 and sum(r.is_secret == (r.doc_id % 2 == 1) for r in got) >= 190
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    assert secret_scan.find(odd_docs).count() == 0
+    assert secret_scan.find(no_docs).count() == 0
