@@ -6,8 +6,8 @@
 3. Classes that share a band key are candidates. A bucket first offers only stars: each member
    against one pivot, another pivot in each round. Confirmed links merge classes, and a bucket
    whose members are all in one component offers nothing more, so a large group of near copies
-   costs a few pairs a member. What stars leave apart is then paired in full across components:
-   no link is lost to the stars, and no bucket is capped.
+   costs a few pairs a member. What stars leave apart is then paired across components, but for
+   pairs whose private shingles rule a link out: no link is lost, and no bucket is capped.
 4. A pair passes if the sizes allow it, if the similarity estimated from the packed bits
    (corrected for chance collisions) is not far under the threshold, and if the full sets confirm it.
 
@@ -149,6 +149,38 @@ def _confirmed(pairs: DataFrame, sides: DataFrame, sets: DataFrame, num: int, de
     return full.where(F.col("both") * den >= F.col("any") * num).select("a", "b")
 
 
+def _across(left: DataFrame, sides: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of unlike labels in a bucket, but for those that two exact bounds rule out.
+
+    A shingle that only one of these nodes holds is in no intersection with another, so a pair
+    shares at most the smaller count of other shingles. And nodes with the same reference share
+    at most the smaller part that either has of it, and what they share besides. Neither bound
+    drops a link; what passes is counted in full later."""
+    nodes = left.select("node").distinct()
+    held = sets.join(nodes, "node").select("node", F.explode("shingles").alias("s"))
+    alone = held.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    private = alone.groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+    known = sides.select("node", "n").join(nodes, "node").join(private, "node", "left").select("node", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("open"))
+    known = keep(known.where(F.col("open") * den >= F.col("n") * num), "open_nodes")
+
+    # What a node has in common with the most central mate of its buckets, and what besides.
+    left = left.join(known, "node")
+    top = left.groupBy("band").agg(F.max(F.struct("mates", "node")).alias("top"))
+    refs = left.join(top, "band").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("ref"))
+    own, other = sets.withColumnRenamed("shingles", "x"), sets.select(F.col("node").alias("ref"), F.col("shingles").alias("y"))
+    both = refs.join(own, "node").join(other, "ref").select("node", "ref", F.size("x").alias("n"), F.array_intersect("x", "y").alias("common"), F.array_except("x", "y").alias("rest"))
+    near = F.size("common") * 2 >= F.col("n")  # else the rest is long and rules little out
+    refs = keep(both.select("node", F.when(near, F.col("ref")).alias("ref"), F.size("common").alias("w"), F.when(near, F.col("rest")).alias("rest")), "references")
+
+    p = left.join(refs, "node").select("band", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("open").alias("ou"), F.col("ref").alias("ru"), F.col("w").alias("wu"), F.col("rest").alias("eu"))
+    q = p.select("band", *[F.col(c).alias(f"{c[0]}_v") for c in ("u", "lu", "nu", "ou", "ru", "wu", "eu")])
+    need = (F.col("nu") + F.col("n_v")) * num  # least intersection, times (num + den)
+    shared = F.least("ou", "o_v") * (num + den) >= need
+    with_ref = (F.least("wu", "w_v") + F.size(F.array_intersect("eu", "e_v"))) * (num + den) >= need
+    possible = (F.col("lu") < F.col("l_v")) & shared & F.when(F.col("ru") == F.col("r_v"), with_ref).otherwise(True)
+    return p.join(q, (p["band"] == q["band"]) & possible).select("u", F.col("u_v").alias("v"))
+
+
 def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -165,8 +197,11 @@ def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
     classes = keep(classes, "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-    buckets = keep(banded.join(shared, "band"), "buckets")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = keep(banded.join(shared, "band"), "shared_bands")
+    # Nodes with many bucket mates are near the middle of their group: the first pivots.
+    mates = buckets.groupBy("node").agg(F.sum("members").alias("mates"))
+    buckets = keep(buckets.drop("members").join(mates, "node").select("node", "band", "mates"), "buckets")
     sides = keep(classes.join(buckets.select("node").distinct(), "node").select("node", "first", "n", "bits"), "candidates")
 
     wanted = sides.select(F.col("first").alias("_want")).distinct()
@@ -179,14 +214,15 @@ def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
     for turn in range(STAR_ROUNDS + 1):
         members = buckets.withColumn("label", F.col("node"))
         if labels is not None:
-            members = buckets.join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
-        apart = members.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("p")).where("l0 <> l1")
+            members = buckets.join(labels, "node", "left").select("node", "band", "mates", F.coalesce("label", "node").alias("label"))
+        # Another pivot in each turn: the other turns' halves of the nodes come last.
+        order = F.struct((F.pmod(F.xxhash64("node"), F.lit(2)) + turn == 2).alias("last"), (-F.col("mates")).alias("m"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
+        apart = members.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(order).alias("p")).where("l0 <> l1")
         if turn < STAR_ROUNDS:
             offered = members.join(apart.select("band", F.col("p.node").alias("pivot"), F.col("p.label").alias("pl")), "band").where("label <> pl").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
         else:
-            left = members.join(apart.select("band"), "band")
-            other = left.select("band", F.col("node").alias("v"), F.col("label").alias("lv"))
-            offered = left.withColumnRenamed("node", "u").join(other, "band").where("label < lv").select("u", "v")
+            left = keep(members.join(apart.select("band"), "band"), "open_buckets")
+            offered = _across(left, sides, sets, num, den)
         pairs = offered.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
