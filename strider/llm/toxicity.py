@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from strider.llm.shared import without
 
 MAX_EXAMPLES = 16_000
-MAX_TERMS = 1_500
+MAX_TERMS = 800
+CALIBRATION = 4_000
 MIN_TERM_DOCS, MIN_CHI2 = 5, 15.0
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 1.0
 PREFIXES = (4, 5)
@@ -51,38 +52,36 @@ def levels_of(term: str, n: int, words: int) -> list[str]:
 
 
 class Index:
-    """Block-max inverted index over unit vectors of the examples."""
+    """Block-max inverted index over unit vectors of the examples: of each block of BLOCK rows its
+    postings, by term, and the largest weight of each term."""
 
     def __init__(self, rows: list[dict[int, float]], n_terms: int):
         self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        self.top = np.zeros((self.blocks, n_terms), np.float64)
-        ids, ws = [[] for _ in range(n_terms)], [[] for _ in range(n_terms)]
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                ids[t].append(i)
-                ws[t].append(w)
-                self.top[i // BLOCK, t] = max(self.top[i // BLOCK, t], w)
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.ids = [np.array(x, np.int64) for x in ids]
-        self.ws = [np.array(x, np.float64) for x in ws]
-        self.at = [np.searchsorted(x, edges) for x in self.ids]  # where each block's postings start
+        self.top = np.zeros((self.blocks, n_terms))
+        self.postings = []
+        for b in range(self.blocks):
+            flat = sorted((t, i, w) for i, row in enumerate(rows[b * BLOCK : (b + 1) * BLOCK]) for t, w in row.items())
+            terms, at, weights = (np.array(x) for x in zip(*flat))
+            np.maximum.at(self.top[b], terms, weights)
+            self.postings.append((terms, at, weights))
 
     def search(self, terms: list[int], weights: list[float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k nearest examples, (cosine, row), best first; ties by row."""
+        query = np.zeros(self.top.shape[1])
+        query[terms] = weights
         bound = self.top[:, terms] @ np.array(weights)
-        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in order:
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        for b in np.argsort(-bound, kind="stable"):
+            least = best[-1][0] if len(best) == k else 0.0
+            if bound[b] <= 0 or bound[b] < least - 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                s, e = self.at[t][b], self.at[t][b + 1]
-                if s < e:
-                    score[self.ids[t][s:e] - b * BLOCK] += w * self.ws[t][s:e]
-            hit = np.flatnonzero(score > 0)
-            best += [(float(score[i]), int(b * BLOCK + i)) for i in hit if b * BLOCK + i != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+            t, at, w = self.postings[b]
+            score = np.bincount(at, query[t] * w, minlength=BLOCK)
+            if without // BLOCK == b:
+                score[without % BLOCK] = 0.0
+            hit = np.flatnonzero((score > 0) & (score >= least - 1e-12))
+            if len(hit):
+                best = sorted([*best, *zip(score[hit].tolist(), (b * BLOCK + hit).tolist())], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
@@ -110,8 +109,10 @@ class Model:
         rows = sorted(((d, y, self._unit(c)) for d, y, c in rows if c), key=lambda r: (max(r[2].items(), key=lambda x: (x[1], x[0]))[0], r[0]))
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], float)
         self.index = Index([r[2] for r in rows], len(terms))
-        votes = np.array([self._vote(self.index.search([*r[2]], [*r[2].values()], NEIGHBOURS, i)) for i, r in enumerate(rows)])
-        self.knots = isotonic(votes, self.labels) if len(rows) else (np.array([0.0, 1.0]), np.array([base, base]))
+        # Every so many examples, CALIBRATION at most, are left out in turn to calibrate the votes.
+        left_out = range(0, len(rows), -(-len(rows) // CALIBRATION) or 1)
+        votes = np.array([self._vote(self.index.search([*rows[i][2]], [*rows[i][2].values()], NEIGHBOURS, i)) for i in left_out])
+        self.knots = isotonic(votes, self.labels[left_out]) if len(rows) else (np.array([0.0, 1.0]), np.array([base, base]))
         self.blank = base
 
     def _unit(self, counts: dict[int, int]) -> dict[int, float]:
