@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 from conftest import ODD_TEXTS
 from tokenizers import Tokenizer
@@ -9,6 +10,10 @@ from strider.llm import bpe
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def decoded(c, ids):
+    return c.decode(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+
 def test_same_ids_as_the_library_on_random_text():
     t, c, rnd = Tokenizer.from_file(PATH), bpe.Codec(PATH), random.Random(3)
     alphabet = "abc ABC  \t\n\r'sdtmrevll.,!?0123456789éßñ漢字😀  ́\x1c\x85\x00<|endoftext|>ªⅫ²"
@@ -17,14 +22,14 @@ def test_same_ids_as_the_library_on_random_text():
     for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
         got = memoryview(c.encode(text)).cast("i").tolist()
         assert got == want.ids, repr(text[:80])
-        assert c.decode(got) == t.decode(want.ids, skip_special_tokens=False)
+        assert decoded(c, got) == t.decode(want.ids, skip_special_tokens=False)
 
 
 def test_partial_characters_decode_like_the_library():
     t, c, rnd = Tokenizer.from_file(PATH), bpe.Codec(PATH), random.Random(5)
     for _ in range(500):
         ids = [rnd.randrange(50257) for _ in range(rnd.randint(0, 8))]
-        assert c.decode(ids) == t.decode(ids, skip_special_tokens=False)
+        assert decoded(c, ids) == t.decode(ids, skip_special_tokens=False)
 
 
 def test_documents_round_trip(spark, documents, odd_docs, no_docs):
