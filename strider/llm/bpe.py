@@ -15,14 +15,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed: the pre-tokeniser's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+#: Words whose ids a task remembers; the memory is emptied when full, and when the task ends.
+CACHE_WORDS = 250_000
 _SLICE = 256
 
 
@@ -62,13 +63,16 @@ class Codec:
         self.left = [vocab[a] for a, _ in pairs]
         self.right = [vocab[b] for _, b in pairs]
         self.made = [vocab[a + b] for a, b in pairs]
-        self.rank = {}
+        self.rank: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]  # left id -> right id -> rank
         for r, (a, b) in enumerate(zip(self.left, self.right)):
-            self.rank.setdefault(a << 32 | b, r)
+            self.rank[a].setdefault(b, r)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = [b""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for s, i in [*vocab.items(), *self.added.items()]:
             self.strings[i] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
+        self.sizes = np.array([len(x) for x in self.strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.strings), np.uint8)
         self.split_added = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.words = regex.compile(PATTERN).findall
         self.memory = _Memory(self)
@@ -76,27 +80,28 @@ class Codec:
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
         ids = [i for b in word if (i := self.first[b]) >= 0]
-        n = len(ids)
-        if n < 2:
+        n, rank, left, right, push = len(ids), self.rank, self.left, self.right, heapq.heappush
+        shift = n.bit_length()  # an entry is rank << shift | position
+        queue = [r << shift | i for i in range(n - 1) if (r := rank[ids[i]].get(ids[i + 1])) is not None]
+        if not queue:
             return ids
-        after, before, rank = [*range(1, n + 1)], [*range(-1, n - 1)], self.rank.get
-        queue = [r << 32 | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        after, before, mask = [*range(1, n + 1)], [*range(-1, n - 1)], (1 << shift) - 1
         heapq.heapify(queue)
         while queue:
             top = heapq.heappop(queue)
-            r, i = top >> 32, top & 0xFFFFFFFF
+            r, i = top >> shift, top & mask
             j = after[i]
-            if ids[i] != self.left[r] or j >= n or ids[j] != self.right[r]:
+            if ids[i] != left[r] or j >= n or ids[j] != right[r]:
                 continue  # stale: a neighbour was merged away since
             ids[i], ids[j] = self.made[r], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := rank(ids[i] << 32 | ids[k])) is not None:
-                    heapq.heappush(queue, s << 32 | i)
+                if (s := rank[ids[i]].get(ids[k])) is not None:
+                    push(queue, s << shift | i)
             h = before[i]
-            if h >= 0 and (s := rank(ids[h] << 32 | ids[i])) is not None:
-                heapq.heappush(queue, s << 32 | h)
+            if h >= 0 and (s := rank[ids[h]].get(ids[i])) is not None:
+                push(queue, s << shift | h)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -112,8 +117,14 @@ class Codec:
             at = m.end()
         return b"".join([*out, *map(ids, self.words(text[at:]))])
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of runs of ids: ends[i]:ends[i + 1] are those of text i."""
+        sizes = self.sizes[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(stops[-1]) + np.repeat(self.starts[ids] - stops[:-1], sizes)
+        whole = self.letters[at].tobytes()
+        cuts = stops[ends].tolist()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -133,6 +144,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
                 flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        c.memory.clear()  # the worker lives on for other work
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -146,7 +158,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, _SLICE):
                 part = b.slice(i, _SLICE)
-                texts = [c.decode(x or []) for x in part.column(1).to_pylist()]
+                lists = part.column(1)
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded_text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded_text string")

@@ -32,7 +32,7 @@ PERMUTATIONS, B_BITS = 192, 2
 STAR_ROUNDS = 3
 #: Estimates this far under the threshold (over six standard errors) are not checked in full.
 MARGIN = 0.2
-_CACHE = 300_000
+_CACHE = 150_000
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)

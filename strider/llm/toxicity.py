@@ -37,7 +37,7 @@ PREFIXES = (4, 5)
 COUNT_LEVELS, RATE_LEVELS = (2, 3, 5), (4, 12)
 THRESHOLD = 0.7
 _WORD = regex.compile(r"\p{L}+").findall
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
                     counts = _counts(text, known)
                     key = tuple(sorted(counts.items()))
                     if key not in memory:
-                        if len(memory) > 50_000:
+                        if len(memory) > 4_000:
                             memory.clear()
                         p, found = m.score(counts)
                         memory[key] = p, [{"doc_id": m.ids[i], "similarity": s, "toxic": int(m.labels[i])} for s, i in found[:3]]
