@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strider.llm.components import connected
 from strider.llm.line_index import mix
-from strider.llm.shared import BROADCAST_IDS, keep, without
+from strider.llm.shared import BROADCAST_IDS, give_back, keep, without
 
 PERMUTATIONS, B_BITS = 192, 2
 STAR_ROUNDS = 3
@@ -107,6 +107,8 @@ def _signatures(k: int, rows: int):
                     [part.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "node", "check", "bits", "bands"],
                 )
+        memory.clear()
+        give_back()
 
     return run
 
@@ -122,6 +124,8 @@ def _sets(k: int):
                     nodes.append(int(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), ">i8")[0]))
                     sets.append(found.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        memory.clear()
+        give_back()
 
     return run
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,9 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, docs[id_col] == F.col("_gone"), "left_anti")
+
+
+def give_back() -> None:
+    """Ends a task's Python part: its worker lives on, and should not keep what the task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

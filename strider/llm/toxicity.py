@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.shared import without
+from strider.llm.shared import give_back, without
 
 MAX_EXAMPLES = 16_000
 MAX_TERMS = 800
@@ -259,6 +259,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
                     evidence.append(memory[key][1])
                 s = np.array(scores, float)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, _EVIDENCE)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+        known.clear()
+        memory.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _OUT)
