@@ -1,6 +1,7 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are runs of token letters with a digit and enough length. Each gets features: length,
+Candidates are runs of token letters with a digit and enough length, provider formats, and
+whatever is assigned to a secret's name, of any length and letters. Each gets features: length,
 entropy, how usual its character transitions are, how much of it dictionary words cover (both
 from the words of the whole corpus), where it stands in a path or URL, its document's source and
 the words beside it. The forest (pyspark.ml) learns from labelled findings; find() takes them
@@ -25,13 +26,22 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strider.llm.shared import keep
+
 MAX_FINDINGS, DICTIONARY, TREES, DEPTH = 20_000, 4_000, 24, 8
 NEAR = 48
-_CANDIDATE = regex.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Runs of LONG letters count by themselves; shorter ones only in a provider's format (15 at least).
+LONG = 16
+_CANDIDATE = regex.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{15,}+={0,2}")
+#: A name and its sign of assignment; each name is tried once, from its start.
+_NAMED = regex.compile(r"""(?<![\w-])([\w-]++)["']?+\s*+[:=]\s*+""")
+_VALUE = regex.compile(r"""(?:"([^"\n]++)"|'([^'\n]++)'|["']?+((?:[^\s"'`,;<>(){}\[\]&]|&(?![\w.-]++=))++))""")
+_PART = regex.compile(r"[^&#]*+")
 _WORD = regex.compile(r"\p{L}{3,}")
 _PROVIDER = regex.compile(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,})$")
 _NAME = regex.compile(r"(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)")
 _ASSIGN = regex.compile(r"(?i)(secret|token|passw(or)?d|pwd|key|auth|credential)[\w-]*\s*[\"']?\s*[:=]\s*[\"']?$")
+_SECRET = regex.compile(r"(?i)secret|token|passw(or)?d|pwd|key|auth|credential")
 _HARMLESS = regex.compile(r"(?i)(example|sample|test|dummy|placeholder|changeme|todo|xxxx|lorem|uuid|checksum|commit|version)")
 FEATURES = ["length", "entropy", "transitions", "coverage", "digits", "uppers", "hex", "only_digits", "in_path", "after_assign", "quoted", "secret_word", "harmless_word", "at_sign", "source"]
 _ROW = "doc_id long, start long, end long, kind string, value_sha256 string, provider boolean, features array<double>"
@@ -96,6 +106,29 @@ def features(v: str, before: str, after: str, source: str, lang: Language) -> li
     ]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the candidates of a text are, in order."""
+    out = {}
+    for m in _CANDIDATE.finditer(text):
+        v = m[0]
+        if _PROVIDER.match(v) or len(v.rstrip("=")) >= LONG and any(c.isdigit() for c in v):
+            out[m.start()] = m.end()
+    taken = 0
+    for m in _NAMED.finditer(text) if "=" in text or ":" in text else ():
+        found = m.start() >= taken and _SECRET.search(m[1]) and _VALUE.match(text, m.end())
+        inner = found and found[3] and _NAMED.match(text, m.end())
+        if not found or inner and _SECRET.search(inner[1]):
+            continue
+        start, end = found.span(found.lastindex)
+        if found[3]:
+            # A parameter of an address ends at the next one; a sentence's stop is no part of a value.
+            end = _PART.match(text, start, end).end() if text[max(0, m.start() - 1) : m.start()] in ("?", "&") else start + len(found[3].rstrip(".!?:"))
+            taken = end
+        if end > max(start, out.get(start, 0)):
+            out[start] = end
+    return sorted(out.items())
+
+
 def candidates(docs: DataFrame, lang: Language, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row per candidate of every text, with its features; values leave only as hashes."""
     sent = docs.sparkSession.sparkContext.broadcast(lang)
@@ -106,11 +139,9 @@ def candidates(docs: DataFrame, lang: Language, id_col: str = "doc_id", text_col
             for i in range(0, b.num_rows, 512):
                 part, out = b.slice(i, 512), []
                 for doc, text, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    for m in _CANDIDATE.finditer(text or ""):
-                        v = m[0]
-                        if any(c.isdigit() for c in v):
-                            before, after = text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR]
-                            out.append({"doc_id": doc, "start": m.start(), "end": m.end(), "kind": _kind(v), "value_sha256": hashlib.sha256(v.encode()).hexdigest(), "provider": bool(_PROVIDER.match(v)), "features": features(v, before, after, source or "", known)})
+                    for start, end in spans(text or ""):
+                        v, before, after = text[start:end], text[max(0, start - NEAR) : start], text[end : end + NEAR]
+                        out.append({"doc_id": doc, "start": start, "end": end, "kind": _kind(v), "value_sha256": hashlib.sha256(v.encode()).hexdigest(), "provider": bool(_PROVIDER.match(v)), "features": features(v, before, after, source or "", known)})
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
@@ -123,7 +154,7 @@ def _f(name: str):
 
 def seed_findings(found: DataFrame) -> DataFrame:
     """found with label 1.0 or 0.0 where rules decide; held-out documents (crc32 mod 3 = 1) have none."""
-    yes = F.col("provider") | (_f("after_assign") > 0) & (_f("entropy") >= 3) & (_f("harmless_word") == 0) & (_f("only_digits") == 0)
+    yes = F.col("provider") | (_f("after_assign") > 0) & (_f("digits") > 0) & (_f("entropy") >= 3) & (_f("harmless_word") == 0) & (_f("only_digits") == 0)
     no = (_f("only_digits") > 0) | (_f("coverage") >= 0.5) | (_f("at_sign") > 0) | (_f("harmless_word") > 0) | (_f("entropy") < 2.5) | (_f("in_path") > 0)
     label = F.when(yes, 1.0).when(no, 0.0)
     out = found.withColumn("label", label)
@@ -149,7 +180,8 @@ def find(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     texts have no candidates; repeated documents give repeated rows. Where there is nothing to
     learn from, provider formats alone are secrets. Extra columns of docs are ignored.
     """
-    found = candidates(docs, language(docs))
+    # Read by training, by its counts and by the result: scanned once.
+    found = keep(candidates(docs, language(docs)), "candidates")
     model = train(seed_findings(found) if findings is None else findings)
     if model is None:
         scored = found.withColumn("score", F.col("provider").cast("double"))
