@@ -1,11 +1,13 @@
 """Personal data and the terms that give it away.
 
 Base spans come from four patterns and their checks. What is found is a protected entity; the
-words near it (within REACH code points, on its line) are its context. Over the whole corpus,
-counted in documents, n(t, e), n(t) and n(e) give the pointwise mutual information of a term and
-an entity, and its share of the entity's information content log2(N / n(e)): 1 means that the
-term alone identifies the entity. Near an entity, terms with a share of REMOVE or more are
-removed, those from GENERALISE on are replaced by their general form.
+other words of its document are its context. Over the whole corpus, counted in documents, n(t, e),
+n(t) and n(e) give the pointwise mutual information of a term and an entity, and its share of the
+entity's information content log2(N / n(e)): 1 means that the term alone identifies the entity.
+In an entity's documents, terms with a share of REMOVE or more are removed, those from GENERALISE
+on are replaced by their general form. A term found with an entity in fewer than SURE documents
+counts as if the missing ones held it without the entity: what rarely met says a little less, and
+the more documents there are, the less that matters.
 
 DataFrame functions only: the patterns are written possessively, so that no text makes Java's
 matcher recurse or try a run of characters again from each of its letters.
@@ -13,7 +15,7 @@ matcher recurse or try a run of characters again from each of its letters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strider.llm.shared import keep, whole
@@ -29,9 +31,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _MAY = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
-#: Fixed parameters of the method: context, least documents with term and entity, shares.
-REACH, LEAST_JOINT, GENERALISE, REMOVE = 160, 3, 0.7, 0.9
+TERM = r"\p{L}++"
+#: Fixed parameters of the method: joint documents that need no prior, shares.
+SURE, GENERALISE, REMOVE = 3, 0.7, 0.9
 _EMPTY = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"
 
 
@@ -84,55 +86,54 @@ def entity(kind: Column, value: Column) -> Column:
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """doc_id, h, entity, term, start, end: every word near every base span."""
-    rows = spans.where(F.size("base") > 0).select("doc_id", "h", "text", "base", F.explode("base").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    first = F.greatest(start - REACH, F.lit(0))
-    left = F.substring("text", first + 1, start - first)
-    left = F.substring_index(F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left), "\n", -1)
-    right = F.substring("text", end + 1, F.lit(REACH))
-    right = F.substring_index(F.when(F.length("text") > end + REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right), "\n", 1)
-    rows = rows.select("doc_id", "h", "base", entity(F.col("s.kind"), F.col("s.value")).alias("entity"), start.alias("s0"), end.alias("s1"), left.alias("left"), right.alias("right"))
-    sides = F.explode(F.array(F.struct((F.col("s0") - F.length("left")).alias("at"), F.col("left").alias("near")), F.struct(F.col("s1").alias("at"), F.col("right").alias("near"))))
-    rows = rows.select("doc_id", "h", "base", "entity", sides.alias("x")).select("doc_id", "h", "base", "entity", "x.at", "x.near")
-    rows = rows.select("*", F.regexp_extract_all("near", F.lit(TERM), F.lit(0)).alias("m"), F.split("near", TERM, -1).alias("p"))
-    rows = rows.select("doc_id", "h", "base", "entity", "at", F.explode(located("near", "m", "p", 0)).alias("t"))
-    rows = rows.select("doc_id", "h", "base", "entity", F.lower("t.value").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
+    """doc_id, h, entities (distinct), term, start, end: every word outside the base spans of a
+    document that has some. Repeated rows count once."""
+    rows = spans.where(F.size("base") > 0).dropDuplicates(["doc_id", "h"])
+    entities = F.array_distinct(F.transform("base", lambda s: entity(s["kind"], s["value"])))
+    rows = rows.select("doc_id", "h", "base", entities.alias("entities"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p"))
+    rows = rows.select("doc_id", "h", "base", "entities", F.posexplode(F.arrays_zip(F.slice("p", 1, F.size("m")).alias("p"), F.col("m").alias("m"))).alias("i", "x"))
+    # Sums over the pieces before a word say where it stands, in linear time.
+    end = F.sum(F.length("x.p") + F.length("x.m")).over(Window.partitionBy("doc_id", "h").orderBy("i")).cast("int")
+    rows = rows.select("doc_id", "h", "base", "entities", F.lower("x.m").alias("term"), end.alias("end"), F.length("x.m").alias("n"))
+    rows = rows.select("doc_id", "h", "base", "entities", "term", (F.col("end") - F.col("n")).alias("start"), "end")
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     return rows.where(~inside).drop("base")
 
 
-def disclosure(docs: DataFrame, near: DataFrame, text_col: str = "text", least_joint: int = LEAST_JOINT) -> DataFrame:
+def disclosure(docs: DataFrame, near: DataFrame, text_col: str = "text", sure: int = SURE) -> DataFrame:
     """entity, term, share: how much of each entity's information each of its terms gives.
 
     All counts are of documents, over the whole corpus."""
-    pairs = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= least_joint)
-    pairs = keep(pairs, "term_entity")
-    entities = near.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    met = near.select("doc_id", "h", "entities", "term").distinct().select(F.explode("entities").alias("entity"), "term")
+    pairs = keep(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "term_entity")
+    entities = near.select("doc_id", "h", "entities").distinct().select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
     n = max(1, docs.count())
     counted = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e").cast("double")))
+    n_t = F.col("n_t") + F.greatest(F.lit(sure) - F.col("n_te"), F.lit(0))
+    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (n_t * F.col("n_e").cast("double")))
     content = F.log2(F.lit(float(n)) / F.col("n_e"))
     # An entity of every document has no information to give away.
     return counted.select("entity", "term", F.when(content > 0, F.least(pmi / content, F.lit(1.0))).otherwise(0.0).alias("share"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, least_joint: int = LEAST_JOINT) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, sure: int = SURE) -> DataFrame:
     """doc_id, h, base, spans for every row of docs; spans are base and the disclosing terms.
 
-    Null counts as empty and has no spans. Rows that repeat an id and text get the same spans,
-    and count once in the statistics. Other columns of docs are ignored.
+    Null counts as empty and has no spans. Rows that repeat an id and text get the same spans;
+    together they count once with their entities. Other columns of docs are ignored.
     """
     # The texts stay behind; only spans and the words around them are kept.
     spans = base_spans(docs, id_col, text_col)
     near = keep(contexts(spans), "contexts")
-    shares = disclosure(docs, near, text_col, least_joint).where(F.col("share") >= generalise)
+    shares = disclosure(docs, near, text_col, sure).where(F.col("share") >= generalise)
     action = F.when(F.col("share") >= remove, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    terms = near.join(shares.select("entity", "term", action.alias("kind")), ["entity", "term"])
-    terms = terms.groupBy("doc_id", "h", "start", "end").agg(F.max("kind").alias("kind"))
+    told = near.select("doc_id", "h", "entities").distinct().select("doc_id", "h", F.explode("entities").alias("entity"))
+    told = told.join(shares.select("entity", "term", action.alias("kind")), "entity").groupBy("doc_id", "h", "term").agg(F.max("kind").alias("kind"))
+    told = told.withColumnsRenamed({"doc_id": "_id", "h": "_h", "term": "_term"})
+    terms = near.drop("entities").join(told, near["doc_id"].eqNullSafe(told["_id"]) & (near["h"] == told["_h"]) & (near["term"] == told["_term"]))
     terms = terms.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value"))).alias("terms"))
     base = spans.drop("text")
     terms = terms.withColumnsRenamed({"doc_id": "_id", "h": "_h"})

@@ -76,3 +76,15 @@ def test_terms_that_give_an_entity_away(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     assert pii.report(pii.find(odd_docs)).count() == odd_docs.count()
     assert pii.report(pii.find(no_docs)).count() == 0
+
+
+def test_entities_of_one_and_two_documents(spark):
+    once = "Zora Quill lives here\n\nreach me: z.q@x.org with common words"
+    twice = "Ion Brask " + "common words " * 40 + "\nand then call +1 212 555 0100"
+    rows = [(1, once), (2, twice), (3, "again " + twice), (None, "nobody")]
+    rows += [(100 + i, "common words lives here reach me with and then call again other") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans.split(",") for r in pii.report(pii.find(df)).collect()}
+    told = {d: {t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in found[d] if s[:4] in ("gene", "remo")} for d, t in rows[:3]}
+    assert told == {1: {"Zora", "Quill"}, 2: {"Ion", "Brask"}, 3: {"Ion", "Brask"}}
+    assert found[None] == [""] and found[100] == [""]
