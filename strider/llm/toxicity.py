@@ -3,8 +3,8 @@
 Fit, on at most MAX_EXAMPLES labelled rows (a documented bound; rows are taken by a hash of
 their id): terms are words and the 4- and 5-letter beginnings of longer words, each once more
 for every level of its count or rate that the text reaches (a unit vector forgets how often its
-only term was seen); those that chi-square ties to the label form the vocabulary; examples
-become TF-IDF vectors over it.
+only term was seen); all of those that chi-square ties to the label form the vocabulary;
+examples become TF-IDF vectors over it, with document frequencies of all documents.
 
 Search is exact: examples lie in blocks of BLOCK rows in an inverted index whose postings carry
 each block's largest weight. Blocks are scored from the highest bound down, until the bound
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from strider.llm.shared import give_back, without
 
 MAX_EXAMPLES = 16_000
-MAX_TERMS = 800
 CALIBRATION = 4_000
 MIN_TERM_DOCS, MIN_CHI2 = 5, 15.0
 BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 1.0
@@ -53,23 +52,30 @@ def levels_of(term: str, n: int, words: int) -> list[str]:
 
 class Index:
     """Block-max inverted index over unit vectors of the examples: of each block of BLOCK rows its
-    postings, by term, and the largest weight of each term."""
+    postings, by term, and of each term the blocks that hold it with its largest weight there."""
 
     def __init__(self, rows: list[dict[int, float]], n_terms: int):
         self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        self.top = np.zeros((self.blocks, n_terms))
-        self.postings = []
+        self.n_terms, self.postings, tops = n_terms, [], []
         for b in range(self.blocks):
             flat = sorted((t, i, w) for i, row in enumerate(rows[b * BLOCK : (b + 1) * BLOCK]) for t, w in row.items())
             terms, at, weights = (np.array(x) for x in zip(*flat))
-            np.maximum.at(self.top[b], terms, weights)
             self.postings.append((terms, at, weights))
+            first = np.flatnonzero(np.diff(terms, prepend=-1))
+            tops.append((terms[first], np.full(len(first), b), np.maximum.reduceat(weights, first)))
+        held, blocks, largest = (np.concatenate(x) for x in zip(*tops)) if tops else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.argsort(held, kind="stable")
+        self.top_blocks, self.top_weights = blocks[order], largest[order]
+        self.top_at = np.searchsorted(held[order], np.arange(n_terms + 1))
 
     def search(self, terms: list[int], weights: list[float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k nearest examples, (cosine, row), best first; ties by row."""
-        query = np.zeros(self.top.shape[1])
+        query = np.zeros(self.n_terms)
         query[terms] = weights
-        bound = self.top[:, terms] @ np.array(weights)
+        parts = [slice(self.top_at[t], self.top_at[t + 1]) for t in terms]
+        if not parts:
+            return []
+        bound = np.bincount(np.concatenate([self.top_blocks[p] for p in parts]), np.concatenate([self.top_weights[p] * w for p, w in zip(parts, weights)]), self.blocks)
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
             least = best[-1][0] if len(best) == k else 0.0
@@ -101,7 +107,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What a fit leaves: bounded by MAX_EXAMPLES and MAX_TERMS, so it can be sent to all tasks."""
+    """What a fit leaves: bounded by the terms of MAX_EXAMPLES rows, so it can be sent to all tasks."""
 
     def __init__(self, terms: list[str], idf: list[float], rows: list[tuple[int, int, dict[int, int]]], base: float):
         self.number = {t: i for i, t in enumerate(terms)}
@@ -183,7 +189,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EX
     return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def inverse_frequencies(docs: DataFrame, number: dict[str, int]) -> list[float]:
+    """The IDF of each numbered term, counted over every row of docs."""
+    if not number:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows, seen = _Terms(number), 0, Counter()
+        for b in batches:
+            rows += b.num_rows
+            for part in _slices(b):
+                for text in part.column(0).to_pylist():
+                    seen.update(_counts(text, known).keys())
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([rows, *seen.values()], pa.int64())], names=["t", "n"])
+        known.clear()
+        give_back()
+
+    found = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    return [float(np.log((1 + found.get(-1, 0)) / (1 + found.get(t, 0))) + 1) for t in range(len(number))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Learns from labels' toxic column; lang, source and ids are no inputs."""
     rows = training_rows(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), max_examples)
     totals = rows.groupBy("toxic").count().collect()
@@ -210,10 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     chi2 = n * F.pow((a * d - b * c).cast("double"), F.lit(2)) / (F.lit(float(max(1, n1 * (n - n1)))) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
     counted = rows.select("text", "toxic").mapInArrow(term_counts, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     chosen = counted.where((F.col("n1") >= MIN_TERM_DOCS) & (a * (n - n1) > b * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    chosen = chosen.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    terms = [r["term"] for r in chosen]
-    idf = [float(np.log((1 + n) / (1 + r["n"])) + 1) for r in chosen]
+    terms = [r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").select("term").collect()]
     number = {t: i for i, t in enumerate(terms)}
+    idf = inverse_frequencies(docs, number)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(number)

@@ -50,3 +50,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.score(odd_docs, model).count() == odd_docs.count()
     assert toxicity.score(no_docs, model).count() == 0
     assert toxicity.score(odd_docs, toxicity.fit(no_docs, labels.where(F.lit(False)))).where("score between 0 and 1").count() == odd_docs.count()
+
+
+def test_every_term_of_the_test_is_kept_and_counted_in_all_documents(spark):
+    names = [f"{a}{b}{c}" for a in "bcdfghjklmnp" for b in "aeiou" for c in "rstvwxz"]  # three letters: no prefixes
+    names = [f"{x}q" [:4] for x in names] + names + [f"{x}y" for x in names]
+    rows = [(i, " ".join(names) if i < 40 else "plain text of an innocent kind") for i in range(400)]
+    rows += [(1000 + i, names[-1] if i < 300 else "unlabelled") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(names) == set(model.number) and len(names) > 1200
+    got = {t: model.idf[i] for t, i in model.number.items()}
+    assert abs(got[names[-1]] - (np.log(1001 / 341) + 1)) < 1e-9 and abs(got[names[0]] - (np.log(1001 / 41) + 1)) < 1e-9
