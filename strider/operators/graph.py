@@ -44,15 +44,17 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def shortest_within(edges: DataFrame, seeds: DataFrame, radius: float, most_rounds: int = 64) -> DataFrame:
+def shortest_within(edges: DataFrame, seeds: DataFrame, radius: float) -> DataFrame:
     """node, dist, parent from the nearest of seeds (node, dist), up to radius, over edges (a, b, w).
 
     Label-correcting rounds: only nodes that improved spread again; a round is one join and one
-    min. Ties take the smaller parent."""
+    min, until none improves. Weights are not negative, so rounds end. Ties take the smaller parent."""
     adjacency = settled(edges.select("a", "b", "w"))
+    if not adjacency.where("w < 0").isEmpty():
+        raise ValueError("edges with negative weights")
     best = settled(seeds.select("node", F.col("dist").cast("double").alias("dist"), F.lit(None).cast("bigint").alias("parent")))
     front = best
-    for _ in range(most_rounds):
+    while True:
         step = front.join(adjacency, front["node"] == adjacency["a"]).select(F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").cast("bigint").alias("parent")).where(F.col("dist") <= radius)
         step = step.groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("m")).select("node", F.col("m.dist").alias("nd"), F.col("m.parent").alias("np"))
         old = best.select("node", F.col("dist").alias("od"))
@@ -93,13 +95,16 @@ def chains(edges: DataFrame) -> DataFrame:
     return edges.join(joined.withColumnsRenamed({"node": "edge", "component": "chain"}), "edge", "left").withColumn("chain", F.coalesce("chain", "edge"))
 
 
-def timed_labels(edges: DataFrame, departures: DataFrame, seeds: DataFrame, horizon: float, most_rounds: int = 64) -> DataFrame:
+def timed_labels(edges: DataFrame, departures: DataFrame, seeds: DataFrame, horizon: float) -> DataFrame:
     """node, at: earliest arrivals. Edges (a, b, w) are walked; departures (a, b, dep, arr) are
-    rides, taken at the first one not before the arrival at a (an as-of step each round)."""
+    rides, taken at the first one not before the arrival at a (an as-of step each round). Rounds
+    go on until no node improves; no walk or ride takes negative time, so they end."""
     walk, rides = settled(edges.select("a", "b", "w")), settled(departures.select("a", "b", "dep", "arr"))
+    if not walk.where("w < 0").isEmpty() or not rides.where("arr < dep").isEmpty():
+        raise ValueError("walks or rides of negative time")
     best = settled(seeds.select("node", F.col("at").cast("double").alias("at")))
     front = best
-    for _ in range(most_rounds):
+    while True:
         walked = front.join(walk, front["node"] == walk["a"]).select(F.col("b").alias("node"), (F.col("at") + F.col("w")).alias("na"))
         ridden = front.join(rides, (front["node"] == rides["a"]) & (rides["dep"] >= front["at"])).select(F.col("b").alias("node"), F.col("arr").cast("double").alias("na"))
         step = walked.unionByName(ridden).where(F.col("na") <= horizon).groupBy("node").agg(F.min("na").alias("na"))

@@ -74,13 +74,13 @@ def graph_components(spark, d):
 
 def reach_from(spark, d):
     seeds = spark.createDataFrame([(1, 0.0)], "node bigint, dist double")
-    return graph.shortest_within(graph.both_ways(_edges(spark, d)), seeds, 24.0, 8).select("node", "dist")
+    return graph.shortest_within(graph.both_ways(_edges(spark, d)), seeds, 24.0).select("node", "dist")
 
 
 def hop_counts(spark, d):
     seeds = spark.createDataFrame([(1, 0.0), (2, 0.0)], "node bigint, dist double")
     one = graph.both_ways(_edges(spark, d).withColumn("w", F.lit(1.0)))
-    return graph.shortest_within(one, seeds, 4.0, 8).select("node", "dist")
+    return graph.shortest_within(one, seeds, 4.0).select("node", "dist")
 
 
 def node_degrees(spark, d):
@@ -103,7 +103,7 @@ def timed_reach(spark, d):
     rides = table(spark, d, "lineitem").where("l_orderkey % 53 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b"), (F.col("l_orderkey") % 900).cast("double").alias("dep"))
     rides = rides.withColumn("arr", F.col("dep") + 25)
     seeds = spark.createDataFrame([(1, 100.0)], "node bigint, at double")
-    return graph.timed_labels(walk, rides, seeds, 420.0, 12)
+    return graph.timed_labels(walk, rides, seeds, 420.0)
 
 
 QUERIES = {
