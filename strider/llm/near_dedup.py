@@ -232,7 +232,8 @@ def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            # A pivot may come back with all its pairs tested; the exact round comes all the same.
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = keep(_confirmed(pairs, sides, sets, num, den), "links")
         if new.isEmpty():

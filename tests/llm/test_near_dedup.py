@@ -85,3 +85,11 @@ def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_exact_round_follows_star_rounds_without_pairs(spark, monkeypatch):
+    called, across = [], near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda *a: called.append(1) or across(*a))
+    text = " ".join(f"w{i}" for i in range(200))
+    df = spark.createDataFrame([(1, text), (2, text + " tail")], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_groups(df, words=3, num=85, den=100).collect()} == {1} and called
