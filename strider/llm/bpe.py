@@ -2,16 +2,17 @@
 
 Merging takes pairs from a priority queue of merge ranks over a doubly linked list of symbols;
 entries whose symbols have changed since are stale and skipped. Decoding concatenates the
-vocabulary's byte strings. The vocabulary file is a parameter, read by every task.
+vocabulary's byte strings. The vocabulary file is a parameter; the driver reads it and sends its
+bytes, so that tasks need no file of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,11 @@ class _Memory(dict):
 
 
 class Codec:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, raw: bytes):
+        spec = json.loads(raw)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec["normalizer"]:
-            raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
+            raise ValueError("this is no plain byte-level BPE vocabulary")
         letters, vocab = byte_letters(), model["vocab"]
         byte_of = {c: b for b, c in letters.items()}
         self.first = [vocab.get(letters[b], -1) for b in range(256)]
@@ -129,23 +129,51 @@ class Codec:
         return [whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+#: A worker's codec, by its vocabulary's digest; another vocabulary takes its place.
+_here: dict[bytes, Codec] = {}
+
+
+def _codec(sent) -> Codec:
+    digest, raw = sent.value
+    if digest not in _here:
+        _here.clear()
+        _here[digest] = Codec(raw)
+    return _here[digest]
+
+
+def _send(docs: DataFrame, path: str):
+    with open(path, "rb") as f:
+        raw = f.read()
+    return docs.sparkSession.sparkContext.broadcast((hashlib.sha256(raw).digest(), raw))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, _SLICE):
+            yield b.slice(i, _SLICE)
+
+
+def _encoded(c: Codec, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and where each text's begin (and the last one's end)."""
+    packed = [c.encode(t or "") for t in texts]
+    return np.frombuffer(b"".join(packed), np.int32), np.cumsum([0, *[len(x) // 4 for x in packed]])
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>) for every row of docs; a null or empty text has no ids."""
+    """doc_id, ids (array<int>) for every row of docs; a null or empty text has no ids.
+
+    Rows that repeat are encoded each; an empty table gives no rows; a very long text is one row
+    like any other. Other columns of docs are ignored, whatever their names."""
+    sent = _send(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            for i in range(0, b.num_rows, _SLICE):
-                part = b.slice(i, _SLICE)
-                packed = [c.encode(t or "") for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *[len(x) // 4 for x in packed]]).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        c = _codec(sent)
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(*_encoded(c, part.column(1).to_pylist()))], names=["doc_id", "ids"])
         c.memory.clear()
         give_back()
 
@@ -155,22 +183,37 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with decoded_text; null ids decode to an empty text."""
+    sent = _send(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            for i in range(0, b.num_rows, _SLICE):
-                part = b.slice(i, _SLICE)
-                lists = part.column(1)
-                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded_text"])
+        c = _codec(sent)
+        for part in _slices(batches):
+            lists = part.column(1)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            texts = c.decode(lists.flatten().to_numpy(zero_copy_only=False), ends)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded_text"])
         give_back()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded_text string")
 
 
-def report(decoded: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python pass, with one codec a task."""
+    sent = _send(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = _codec(sent)
+        for part in _slices(batches):
+            ids, ends = _encoded(c, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids, ends), pa.array(c.decode(ids, ends), pa.string())], names=["doc_id", "ids", "decoded_text"])
+        c.memory.clear()
+        give_back()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded_text string")
+
+
+def report(decoded: DataFrame, with_ids: bool = False) -> DataFrame:
     """The digest columns of the contract."""
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", *[c for c in ("ids",) if with_ids], F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))

@@ -42,8 +42,7 @@ def vocabulary() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    return bpe.report(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.report(bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
