@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples.
 
 Fit, on at most MAX_EXAMPLES labelled rows (a documented bound; rows are taken by a hash of
-their id): terms are words and the 4- and 5-letter beginnings of longer words, each once more
-for every level of its count or rate that the text reaches (a unit vector forgets how often its
-only term was seen); all of those that chi-square ties to the label form the vocabulary;
-examples become TF-IDF vectors over it, with document frequencies of all documents.
-
-Search is exact: examples lie in blocks of BLOCK rows in an inverted index whose postings carry
-each block's largest weight. Blocks are scored from the highest bound down, until the bound
-falls under the k-th best cosine. Votes are weighted by the cosine and shrunk to the base rate;
-isotonic regression on left-one-out votes of the examples turns them into probabilities.
+their id): every word of two examples or more is a term, and so are the 4- and 5-letter stems
+that chi-square ties to the label. Examples, toxic and clean ones alike, become unit vectors of
+(1 + log count) x IDF x relevance. Document frequencies are those of all documents. Relevance is
+the term's phi coefficient with the label (RELEVANCE at least): without it the many rare words of
+a text drown the few that matter, and neighbours share a topic instead of a tone. Terms of more
+than STOP of the examples (STOP_LEAST at least) that the label says little about are stop words.
+
+Search is exact: examples lie in blocks of BLOCK rows, and each term's postings are cut into
+segments, one a block, that carry their largest weight. The blocks with the highest bounds are
+scored first, then all whose bound reaches the k-th best cosine found. Votes are weighted by the
+squared cosine and shrunk to the base rate; isotonic regression on left-one-out votes of the
+examples turns them into probabilities.
 
 Every document is scored in the scan, over its whole text; no text is shuffled.
 """
@@ -25,70 +28,79 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.shared import give_back, without
+from strider.llm.shared import give_back, keep, text_key
 
 MAX_EXAMPLES = 16_000
 CALIBRATION = 4_000
-MIN_TERM_DOCS, MIN_CHI2 = 5, 15.0
-BLOCK, NEIGHBOURS, PRIOR_WEIGHT = 64, 15, 1.0
-PREFIXES = (4, 5)
-#: A term seen so often, or in so many of a thousand words, counts as further terms.
-COUNT_LEVELS, RATE_LEVELS = (2, 3, 5), (4, 12)
+MIN_STEM_DOCS, MIN_CHI2 = 5, 15.0
+#: The least relevance of a term; the share of examples that makes a stop word of a term whose
+#: relevance is under STOP_RELEVANCE (the usual bound of a small effect).
+RELEVANCE, STOP, STOP_LEAST, STOP_RELEVANCE = 0.01, 0.01, 50, 0.1
+BLOCK, FIRST_BLOCKS, NEIGHBOURS, PRIOR_WEIGHT = 64, 4, 15, 0.01
+STEMS = (4, 5)
 THRESHOLD = 0.7
 _WORD = regex.compile(r"\p{L}+").findall
-_CACHE = 150_000
+_CACHE = 100_000
 
 
-def terms_of(word: str) -> list[str]:
-    return [word] + [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
+def stems_of(word: str) -> list[str]:
+    return [f"{word[:n]}*" for n in STEMS if len(word) > n]
 
 
-def levels_of(term: str, n: int, words: int) -> list[str]:
-    """The terms that n occurrences among so many words stand for."""
-    if n < 2:
-        return [term]
-    return [term, *[f"{term}@{k}" for k in COUNT_LEVELS if n >= k], *[f"{term}%{k}" for k in RATE_LEVELS if 1000 * n >= k * words]]
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), then starts[1] and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class Index:
-    """Block-max inverted index over unit vectors of the examples: of each block of BLOCK rows its
-    postings, by term, and of each term the blocks that hold it with its largest weight there."""
-
-    def __init__(self, rows: list[dict[int, float]], n_terms: int):
-        self.n, self.blocks = len(rows), -(-len(rows) // BLOCK)
-        self.n_terms, self.postings, tops = n_terms, [], []
-        for b in range(self.blocks):
-            flat = sorted((t, i, w) for i, row in enumerate(rows[b * BLOCK : (b + 1) * BLOCK]) for t, w in row.items())
-            terms, at, weights = (np.array(x) for x in zip(*flat))
-            self.postings.append((terms, at, weights))
-            first = np.flatnonzero(np.diff(terms, prepend=-1))
-            tops.append((terms[first], np.full(len(first), b), np.maximum.reduceat(weights, first)))
-        held, blocks, largest = (np.concatenate(x) for x in zip(*tops)) if tops else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        order = np.argsort(held, kind="stable")
-        self.top_blocks, self.top_weights = blocks[order], largest[order]
-        self.top_at = np.searchsorted(held[order], np.arange(n_terms + 1))
-
-    def search(self, terms: list[int], weights: list[float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k nearest examples, (cosine, row), best first; ties by row."""
-        query = np.zeros(self.n_terms)
-        query[terms] = weights
-        parts = [slice(self.top_at[t], self.top_at[t + 1]) for t in terms]
-        if not parts:
-            return []
-        bound = np.bincount(np.concatenate([self.top_blocks[p] for p in parts]), np.concatenate([self.top_weights[p] * w for p, w in zip(parts, weights)]), self.blocks)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            least = best[-1][0] if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            t, at, w = self.postings[b]
-            score = np.bincount(at, query[t] * w, minlength=BLOCK)
-            if without // BLOCK == b:
-                score[without % BLOCK] = 0.0
-            hit = np.flatnonzero((score > 0) & (score >= least - 1e-12))
-            if len(hit):
-                best = sorted([*best, *zip(score[hit].tolist(), (b * BLOCK + hit).tolist())], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+    """Block-max inverted index over unit vectors of examples."""
+
+    def __init__(self, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, n_terms: int):
+        """Parallel arrays with an entry per term of an example; n examples, n_terms terms."""
+        order = np.lexsort((rows, terms))
+        terms = terms[order]
+        self.n, self.blocks = n, -(-n // BLOCK)
+        self.rows, self.weights = rows[order].astype(np.int32), weights[order].astype(np.float32)
+        of = terms.astype(np.int64) * (self.blocks + 1) + self.rows // BLOCK
+        self.starts = np.flatnonzero(np.diff(of, prepend=-1)).astype(np.int32)  # of segments
+        self.sizes = np.diff(np.append(self.starts, len(of))).astype(np.int32)
+        self.block = (self.rows[self.starts] // BLOCK).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weights, self.starts) if len(of) else np.zeros(0, np.float32)
+        self.at = np.searchsorted(terms[self.starts], np.arange(n_terms + 1)).astype(np.int32)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and rows of the k nearest examples, best first; ties by row."""
+        if not len(terms):
+            return np.zeros(0), np.zeros(0, np.int64)
+        begin, sizes = self.at[terms], self.at[terms + 1] - self.at[terms]
+        segments, w = _ranges(begin, sizes), np.repeat(weights, sizes)
+        block = self.block[segments]
+        bound = np.bincount(block, w * self.top[segments], self.blocks)
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        chosen = np.zeros(self.blocks, bool)
+        chosen[first] = bound[first] > 0
+        score = self._score(segments, w, chosen[block], without)
+        best = np.sort(score)[-k:]
+        least = best[0] if len(best) == k else 0.0
+        more = (bound >= max(least - 1e-9, 1e-30)) & ~chosen
+        if more.any():
+            score = score + self._score(segments, w, more[block], without)
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            least = np.partition(score[found], len(found) - k)[len(found) - k]
+            found = found[score[found] >= least]
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return score[found], found
+
+    def _score(self, segments: np.ndarray, w: np.ndarray, chosen: np.ndarray, without: int) -> np.ndarray:
+        segments = segments[chosen]
+        sizes = self.sizes[segments]
+        at = _ranges(self.starts[segments], sizes)
+        score = np.bincount(self.rows[at], self.weights[at] * np.repeat(w[chosen], sizes), self.n)
+        if without >= 0:
+            score[without] = 0.0
+        return score
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,37 +121,37 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """What a fit leaves: bounded by the terms of MAX_EXAMPLES rows, so it can be sent to all tasks."""
 
-    def __init__(self, terms: list[str], idf: list[float], rows: list[tuple[int, int, dict[int, int]]], base: float):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf, self.base = idf, base
-        rows = sorted(((d, y, self._unit(c)) for d, y, c in rows if c), key=lambda r: (max(r[2].items(), key=lambda x: (x[1], x[0]))[0], r[0]))
-        self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-        self.index = Index([r[2] for r in rows], len(terms))
+    def __init__(self, terms: list[str], weights: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], base: float):
+        """examples: (id, label, its terms' numbers, their counts)."""
+        self.number, self.term_weights, self.base = {t: i for i, t in enumerate(terms)}, weights, base
+        unit = [(d, y, t, self._unit(t, c)) for d, y, t, c in examples]
+        # Like with like: examples with the same weightiest term are neighbours in their blocks.
+        unit.sort(key=lambda r: (int(r[2][np.argmax(r[3])]) if len(r[2]) else -1, r[0]))
+        self.ids, self.labels = [r[0] for r in unit], np.array([r[1] for r in unit], float)
+        sizes = [len(r[2]) for r in unit]
+        flat = [np.concatenate([r[k] for r in unit]) if unit else np.zeros(0, int) for k in (2, 3)]
+        self.index = Index(flat[0], np.repeat(np.arange(len(unit)), sizes), flat[1], len(unit), len(terms))
         # Every so many examples, CALIBRATION at most, are left out in turn to calibrate the votes.
-        left_out = range(0, len(rows), -(-len(rows) // CALIBRATION) or 1)
-        votes = np.array([self._vote(self.index.search([*rows[i][2]], [*rows[i][2].values()], NEIGHBOURS, i)) for i in left_out])
-        self.knots = isotonic(votes, self.labels[left_out]) if len(rows) else (np.array([0.0, 1.0]), np.array([base, base]))
-        self.blank = base
-
-    def _unit(self, counts: dict[int, int]) -> dict[int, float]:
-        w = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        size = float(np.sqrt(sum(x * x for x in w.values())))
-        return {t: float(x) / size for t, x in w.items()}
-
-    def _vote(self, found: list[tuple[float, int]]) -> float:
-        w = np.array([s * s for s, _ in found])
-        y = self.labels[[i for _, i in found]] if found else np.zeros(0)
-        return float((w @ y + PRIOR_WEIGHT * self.base * 0.1) / (w.sum() + PRIOR_WEIGHT * 0.1))
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """The probability of label 1 and the neighbours that gave it."""
-        if not counts:
-            return self.blank, []
-        unit = self._unit(counts)
-        found = self.index.search([*unit], [*unit.values()], NEIGHBOURS)
-        vote = self._vote(found)
+        left_out = range(0, len(unit), -(-len(unit) // CALIBRATION) or 1)
+        votes = np.array([self._vote(*self.index.search(unit[i][2], unit[i][3], NEIGHBOURS, i)) for i in left_out])
+        self.knots = isotonic(votes, self.labels[left_out]) if len(unit) else (np.array([0.0, 1.0]), np.array([base, base]))
+
+    def _unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.term_weights[terms]
+        return w / max(float(np.sqrt(w @ w)), 1e-30)
+
+    def _vote(self, cosines: np.ndarray, rows: np.ndarray) -> float:
+        w = cosines * cosines
+        return float((w @ self.labels[rows] + PRIOR_WEIGHT * self.base) / (w.sum() + PRIOR_WEIGHT))
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The probability of label 1, and the cosines and rows of the neighbours that gave it."""
+        if not len(terms):
+            return self.base, np.zeros(0), np.zeros(0, np.int64)
+        cosines, rows = self.index.search(terms, self._unit(terms, counts), NEIGHBOURS)
+        vote = self._vote(cosines, rows)
         p = float(np.interp(vote, *self.knots))
-        return min(1.0, max(0.0, 0.98 * p + 0.02 * vote)), found
+        return min(1.0, max(0.0, 0.98 * p + 0.02 * vote)), cosines, rows
 
 
 def held_out(id_col: Column) -> Column:
@@ -147,66 +159,65 @@ def held_out(id_col: Column) -> Column:
 
 
 class _Terms(dict):
-    """word -> those of its terms that the vocabulary knows at any level."""
+    """word -> the numbers of its terms: itself and its stems, where they are known."""
 
     def __init__(self, number: dict[str, int]):
         super().__init__()
         self.number = number
-        self.known = {regex.sub(r"[@%]\d+$", "", t) for t in number}
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(t for t in terms_of(word) if t in self.known)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(self.number[t] for t in (word, *stems_of(word)) if t in self.number)
         if len(word) <= 40:
             self[word] = found
         return found
 
-
-def _counts(text: str | None, terms: _Terms) -> dict[int, int]:
-    """The counts of the vocabulary's terms in a whole text."""
-    if len(terms) > _CACHE:
-        terms.clear()
-    words = _WORD((text or "").lower())
-    seen: Counter[str] = Counter()
-    for found in filter(None, map(terms.__getitem__, words)):
-        seen.update(found)
-    return {terms.number[x]: n for t, n in seen.items() for x in levels_of(t, n, len(words)) if x in terms.number}
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a whole text, ascending, and how often each occurs."""
+        if len(self) > _CACHE:
+            self.clear()
+        flat = [t for found in map(self.__getitem__, _WORD((text or "").lower())) for t in found]
+        return np.unique(np.array(flat, np.int64), return_counts=True)
 
 
-def _slices(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for i in range(0, b.num_rows, rows):
-        yield b.slice(i, rows)
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, toxic, text: labelled rows outside the held-out third, at most about
-    max_examples of them. Labels of a document that disagree count as 1; null labels don't count."""
+    max_examples of them. Labels of a document that disagree count as 1; null labels don't count;
+    of an id's texts the one with the least hash is the example."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     share = min(1.0, max_examples / max(1, n))
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # At most about max_examples rows of 12 bytes, so the broadcast has a fixed bound.
-    return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(text_key("text").alias("h"), "text")).alias("x"))
+    return keep(rows.select("doc_id", "toxic", "x.text"), "examples")
 
 
-def inverse_frequencies(docs: DataFrame, number: dict[str, int]) -> list[float]:
-    """The IDF of each numbered term, counted over every row of docs."""
-    if not number:
-        return []
+def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The rows of docs, and how many of them hold each numbered term, over every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, seen = _Terms(number), 0, Counter()
-        for b in batches:
-            rows += b.num_rows
-            for part in _slices(b):
-                for text in part.column(0).to_pylist():
-                    seen.update(_counts(text, known).keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([rows, *seen.values()], pa.int64())], names=["t", "n"])
+        known, seen, rows = _Terms(sent.value), np.zeros(len(sent.value), np.int64), 0
+        for part in _slices(batches):
+            rows += part.num_rows
+            for text in part.column(0).to_pylist():
+                seen[known.counts(text)[0]] += 1
+        t = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, t).astype(np.int32)), pa.array(np.append(rows, seen[t]))], names=["t", "n"])
         known.clear()
         give_back()
 
-    found = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    return [float(np.log((1 + found.get(-1, 0)) / (1 + found.get(t, 0))) + 1) for t in range(len(number))]
+    found = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    out, terms = np.zeros(len(number), np.int64), found["t"].to_numpy() >= 0
+    out[found["t"][terms]] = found["n"][terms]
+    return int(found["n"][~terms].sum()), out
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
@@ -220,38 +231,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         for b in batches:
             every, toxic = Counter(), Counter()
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = _WORD((text or "").lower())
-                seen: Counter[str] = Counter()
-                for w, k in Counter(words).items():
-                    for t in terms_of(w) if len(w) <= 40 else ():
-                        seen[t] += k
-                found = [x for t, k in seen.items() for x in levels_of(t, k, len(words))]
+                words = set(_WORD((text or "").lower()))
+                found = words.union(*map(stems_of, words))
                 every.update(found)
                 if y == 1:
                     toxic.update(found)
-            yield pa.RecordBatch.from_arrays([pa.array([*every]), pa.array([*every.values()], pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], names=["term", "n", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array([*every], pa.string()), pa.array([*every.values()], pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], names=["term", "n", "n1"])
 
     a, b = F.col("n1"), F.col("n") - F.col("n1")
     c, d = n1 - a, (n - n1) - b
-    chi2 = n * F.pow((a * d - b * c).cast("double"), F.lit(2)) / (F.lit(float(max(1, n1 * (n - n1)))) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
+    phi2 = F.pow((a * d - b * c).cast("double"), F.lit(2)) / (F.lit(float(max(1, n1 * (n - n1)))) * F.col("n") * F.greatest(n - F.col("n"), F.lit(1)))
     counted = rows.select("text", "toxic").mapInArrow(term_counts, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-    chosen = counted.where((F.col("n1") >= MIN_TERM_DOCS) & (a * (n - n1) > b * n1)).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-    terms = [r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").select("term").collect()]
-    number = {t: i for i, t in enumerate(terms)}
-    idf = inverse_frequencies(docs, number)
+    counted = counted.where("n >= 2").withColumn("phi", F.sqrt(phi2))
+    stem = (F.col("n") >= MIN_STEM_DOCS) & (F.col("phi") * F.col("phi") * n >= MIN_CHI2)
+    known = (stem | ~F.col("term").endswith("*")) & ((F.col("n") <= max(STOP_LEAST, STOP * n)) | (F.col("phi") >= STOP_RELEVANCE))
+    chosen = counted.where(known).select("term", F.greatest("phi", F.lit(RELEVANCE)).alias("phi")).toPandas().sort_values("term")
+    terms = chosen["term"].tolist()
+    total, df = document_frequencies(docs, {t: i for i, t in enumerate(terms)})
+    weights = (np.log((1 + total) / (1 + df)) + 1) * chosen["phi"].to_numpy(float)
+
+    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(number)
-        for b in batches:
-            got = [_counts(t, known) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[*c] for c in got], pa.list_(pa.int32())), pa.array([[*c.values()] for c in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "t", "c"])
+        known = _Terms(sent.value)
+        for part in _slices(batches):
+            got = [known.counts(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t.astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "toxic", "t", "c"])
+        known.clear()
+        give_back()
 
-    examples = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, c array<int>")
-    # Copies vote once: equal vectors with equal labels keep their smallest id.
-    examples = examples.groupBy("toxic", F.sort_array(F.arrays_zip("t", "c")).alias("v")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).collect()
-    blank = [(r["toxic"], r["n"]) for r in examples if not r["v"]]
-    base = (sum(k for y, k in blank if y == 1) + 0.5) / (sum(k for _, k in blank) + 1)
-    return Model(terms, idf, [(r["doc_id"], r["toxic"], {x["t"]: x["c"] for x in r["v"]}) for r in examples], base)
+    examples = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, t binary, c binary").collect()
+    base = (n1 + 0.5) / (n + 1)
+    return Model(terms, weights, [(r["doc_id"], r["toxic"], np.frombuffer(r["t"], np.int32), np.frombuffer(r["c"], np.int32)) for r in examples], base)
 
 
 _OUT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -261,37 +272,45 @@ _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float6
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the three nearest examples) for every row.
 
-    Null and empty texts get the base rate of texts without any known term. Equal texts get
-    equal scores. Other columns of docs are ignored.
+    Null and empty texts, and texts without a known term, get the base rate of the labels. Equal
+    texts get equal scores, whatever their ids; rows that repeat are scored each. Neighbours at
+    equal cosines rank by their place in the index. Without labels every score is the base rate;
+    an empty table gives no rows. Very long texts are scored whole. Other columns of docs are
+    ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        known, memory = _Terms(m.number), {}
-        for b in batches:
-            for part in _slices(b):
-                scores, evidence = [], []
-                for text in part.column(2).to_pylist():
-                    counts = _counts(text, known)
-                    key = tuple(sorted(counts.items()))
-                    if key not in memory:
-                        if len(memory) > 4_000:
-                            memory.clear()
-                        p, found = m.score(counts)
-                        memory[key] = p, [{"doc_id": m.ids[i], "similarity": s, "toxic": int(m.labels[i])} for s, i in found[:3]]
-                    scores.append(memory[key][0])
-                    evidence.append(memory[key][1])
-                s = np.array(scores, float)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, _EVIDENCE)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+        known = _Terms(m.number)
+        for part in _slices(batches):
+            scores, evidence = [], []
+            for text in part.column(2).to_pylist():
+                p, cosines, rows = m.score(*known.counts(text))
+                scores.append(p)
+                evidence.append([{"doc_id": m.ids[i], "similarity": s, "toxic": int(m.labels[i])} for s, i in zip(cosines[:3].tolist(), rows[:3].tolist())])
+            s = np.array(scores, float)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, _EVIDENCE)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
         known.clear()
-        memory.clear()
         give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _OUT)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, whose ids are unique, without the rows that the model rejects, in docs' own columns."""
-    return without(docs, score(docs, fit(docs, labels)).where("predicted = 1").select("doc_id"))
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs without the rows that the model rejects, in docs' own columns.
+
+    Each row is judged by its own text, so ids may repeat or be null, and other columns pass
+    through whatever their names and values. Null and empty texts stay unless most labels are 1."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        known = _Terms(m.number)
+        for part in _slices(batches):
+            yield part.filter(pa.array([m.score(*known.counts(t))[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+        known.clear()
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
