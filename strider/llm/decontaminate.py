@@ -1,14 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-A window of WINDOW words is fingerprinted by the smallest of its k-gram hashes (k = KGRAM, so
-WINDOW - KGRAM + 1 of them). Two equal windows keep the same k-gram, so every shared span of
-WINDOW words or more shares a fingerprint. Fingerprints of documents meet those of the
-benchmark, then each hit is extended to the whole window and compared. Items shorter than a
-window are one window of their own length, fingerprinted in the same way.
-
-The documents' side is never shuffled: its windows are probed in the scan, against a broadcast
-of the benchmark's windows whose size is counted first (beyond it, a shuffle join does the
-same). DataFrame functions only.
+A text's k-grams of words are hashed (k = KGRAM); of every WINDOW - KGRAM + 1 neighbouring hashes
+the smallest is kept, once for a run of windows that keep the same. Two equal windows keep equal
+k-grams, so every shared span of WINDOW words or more shares a fingerprint. Documents' fingerprints
+meet those of the benchmark's windows; each hit is then extended to the whole window, word by word. Items shorter
+than a window are one window of their own length, winnowed in the same way.
+
+The documents' side is never shuffled where the benchmark's windows can be broadcast (their size
+is counted first; beyond it, a shuffle join of fingerprints does the same). DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,81 +15,129 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.shared import BROADCAST_BYTES, ascii_lower, keep, whole, without
+from strider.llm.shared import BROADCAST_BYTES, ascii_lower, keep, text_key, whole, without
 
-WINDOW, KGRAM = 13, 8
-#: Fixed: what separates words.
+WINDOW, KGRAM, PLACE = 13, 8, 6
+#: Fixed: what separates words, once A-Z are lowered; and words before that.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def _fingerprint(at: Column, length: int) -> Column:
-    """The minimum k-gram hash of the window of word hashes that starts at `at`."""
-    k = min(KGRAM, length)
-    grams = [F.xxhash64(*[F.get("h", at + (i + j)) for j in range(k)]) for i in range(length - k + 1)]
-    return F.least(*grams) if len(grams) > 1 else grams[0]
+def _shifted(name: str, by: int) -> Column:
+    return F.slice(name, by + 1, F.size(name)) if by else F.col(name)
 
 
-def _whole_window(at: Column, length: int) -> Column:
-    """A second hash of the whole window: extends a fingerprint hit to all its words."""
-    return F.xxhash64(F.lit(length), *[F.get("h", at + j) for j in range(length)])
+def _spread(df: DataFrame, first: str, stem: str, most: int, both) -> DataFrame:
+    """df with stem2, stem4, ... up to `most`: element i combines elements i to i + 1, i + 3, ... of
+    first. Each is a column of its own, so that it is worked out once."""
+    p, name = 1, first
+    while 2 * p <= most:
+        df = df.withColumn(f"{stem}{2 * p}", F.zip_with(name, _shifted(name, p), both))
+        p, name = 2 * p, f"{stem}{2 * p}"
+    return df
 
 
-def windows(hashed: DataFrame, length: int, whole_item: bool, *columns: str) -> DataFrame:
-    """Every window of `length` words of the arrays h: its start, fingerprint and whole hash."""
-    have = F.size("h") == length if whole_item else F.size("h") >= length
-    starts = hashed.where(have).select(*columns, "h", F.explode(F.sequence(F.lit(0), F.size("h") - length)).alias("at"))
-    return starts.select(*columns, "at", _fingerprint(F.col("at"), length).alias("fp"), "h").withColumn("_n", F.lit(length))
+def _over(first: str, stem: str, n: int, both) -> Column:
+    """The combination of n neighbours, from the largest power of two that two of them cover."""
+    p = 1 << n.bit_length() - 1
+    name = first if p == 1 else f"{stem}{p}"
+    return F.col(name) if p == n else F.zip_with(name, _shifted(name, n - p), both)
+
+
+def _hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _lesser(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _gram_size(n: int) -> int:
+    return min(KGRAM, n)
+
+
+def grams(texts: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
+    """columns, words and, for windows of each of some lengths n, g<n>: the hashes of the k-grams,
+    in order, with the PLACE lowest bits clear."""
+    out = texts.select(*columns, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    out = _spread(out, "h", "h", max(map(_gram_size, lengths)), _hash)
+    whole_grams = lambda n: F.slice(_over("h", "h", _gram_size(n), _hash), 1, F.greatest(F.size("words") - (_gram_size(n) - 1), F.lit(0)))
+    return out.select(*columns, "words", *[F.transform(whole_grams(n), lambda g: g.bitwiseAND(F.lit(-1 << PLACE))).alias(f"g{n}") for n in lengths])
+
+
+def fingerprints(texts: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
+    """columns, prints: of texts with words, the winnowed k-grams for windows of each of some
+    lengths, as (length, fp, at, near): near are the words that a window around it may hold."""
+    out, last = grams(texts, lengths, *columns), (1 << PLACE) - 1
+    # A gram's place, modulo 64, in the lowest bits tells the minimum's place from the minimum.
+    placed = lambda g, i: g.bitwiseOR(i.bitwiseAND(F.lit(last)).cast("long"))
+    out = out.select(*columns, "words", *[F.transform(f"g{n}", placed).alias(f"v{n}") for n in lengths])
+    for n in lengths:
+        of = n - _gram_size(n) + 1
+        out = _spread(out, f"v{n}", f"v{n}_", of, _lesser)
+        out = out.withColumn(f"m{n}", F.slice(_over(f"v{n}", f"v{n}_", of, _lesser), 1, F.greatest(F.size("words") - (n - 1), F.lit(0))))
+    return out.select(*columns, F.concat(*[_prints(n) for n in lengths]).alias("prints"))
+
+
+def _prints(n: int) -> Column:
+    m, back, last = f"m{n}", n - _gram_size(n), (1 << PLACE) - 1
+    # Neighbouring windows often keep the same gram: it counts once.
+    new = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+    at = lambda i: i + F.pmod(F.get(m, i).bitwiseAND(F.lit(last)).cast("int") - i, F.lit(1 << PLACE))
+    return F.when(F.size(m) > 0, F.transform(F.transform(new, lambda i: F.struct(i.alias("i"), at(i).alias("at"))), lambda x: F.struct(
+        F.lit(n).alias("length"), F.get(m, x["i"]).bitwiseAND(F.lit(-1 << PLACE)).alias("fp"), x["at"].alias("at"), F.array(*[F.get("words", x["at"] + j) for j in range(-back, n)]).alias("near")
+    ))).otherwise(F.expr("cast(array() as array<struct<length:int,fp:bigint,at:int,near:array<string>>>)"))
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, length, fp, full for each window of each item; items without words have none."""
-    hashed = benchmark.select(F.col(item_col).alias("item_id"), word_hashes(whole(text_col)).alias("h"))
-    parts = []
-    for length in range(1, WINDOW + 1):
-        w = windows(hashed, length, length < WINDOW, "item_id")
-        parts.append(w.select("item_id", F.lit(length).alias("length"), "fp", _whole_window(F.col("at"), length).alias("full")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
-
-
-def hits(docs: DataFrame, item_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, _h (hash of the text), at, length, items: document windows equal to a window of the items."""
-    # Items that share a window meet it once; a document window carries their list.
-    index = keep(item_rows.groupBy("length", "fp", "full").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "item_windows")
-    size = index.agg(F.sum(F.lit(48) + 16 * F.size("items"))).first()[0] or 0
-    lengths = sorted(r[0] for r in index.select("length").distinct().collect())  # 13 values at most
-    if not lengths:
-        lengths = [WINDOW]
-    hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("_h"), word_hashes(whole(text_col)).alias("h"))
-    out = None
-    for length in lengths:
-        of_length = index.where(F.col("length") == length).drop("length")
-        side = F.broadcast(of_length) if size <= BROADCAST_BYTES else of_length
-        found = windows(hashed, length, False, "doc_id", "_h").withColumn("_full", _whole_window(F.col("at"), length)).drop("h", "_n")
-        found = found.join(side, (found["fp"] == side["fp"]) & (found["_full"] == side["full"]))
-        found = found.select("doc_id", "_h", "at", F.lit(length).alias("length"), "items")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """length, fp, back, window, items: each distinct window of words of the items, its least k-gram,
+    how far that lies from its start, and the items that have it. A window whose least k-gram
+    stands at several places has a row for each: any of them may be a document's fingerprint."""
+    texts = benchmark.select(F.col(item_col).alias("item_id"), words(whole(text_col)).alias("words")).where(F.size("words") > 0)
+    texts = texts.withColumn("length", F.least(F.size("words"), F.lit(WINDOW)))
+    starts = F.sequence(F.lit(1), F.size("words") - F.col("length") + 1)
+    each = texts.select("item_id", "length", "words", F.explode(starts).alias("s")).select("item_id", "length", F.slice("words", F.col("s"), F.col("length")).alias("words"))
+    each = keep(each.groupBy("length", "words").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
+    lengths = sorted(r[0] for r in each.select("length").distinct().collect()) or [WINDOW]  # WINDOW values at most
+    own = F.coalesce(*[F.when(F.col("length") == n, F.col(f"g{n}")) for n in lengths])
+    found = grams(each, lengths, "length", "items").select("length", "items", F.col("words").alias("window"), own.alias("g")).withColumn("fp", F.array_min("g"))
+    return found.select("length", "fp", "window", "items", F.posexplode("g").alias("back", "x")).where("x = fp").drop("x")
+
+
+def hits(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, _h (text_key), at, length, items: the documents' windows that are windows of items."""
+    index = keep(index, "item_windows")
+    bytes_of = F.lit(64) + F.aggregate("window", F.lit(0), lambda n, w: n + 16 + F.octet_length(w)) + 16 * F.size("items")
+    size = index.agg(F.sum(bytes_of)).first()[0] or 0
+    lengths = sorted(r[0] for r in index.select("length").distinct().collect()) or [WINDOW]
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("_h"), words(whole(text_col)).alias("words"))
+    # An outer explode: for an inner one the optimiser would filter by the prints, and to do so
+    # work them out a second time.
+    prints = fingerprints(texts, lengths, "doc_id", "_h").select("doc_id", "_h", F.explode_outer("prints").alias("x"))
+    side = index.withColumnRenamed("fp", "_fp").withColumnRenamed("length", "_n")
+    first = F.col("_n") - F.least(F.col("_n"), F.lit(KGRAM)) - F.col("back")  # the window's start in `near`
+    met = (F.col("x.fp") == F.col("_fp")) & (F.col("x.length") == F.col("_n")) & (F.slice("x.near", first + 1, F.col("_n")) == F.col("window"))
+    found = prints.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, met)
+    return found.select("doc_id", "_h", (F.col("x.at") - F.col("back")).alias("at"), F.col("_n").alias("length"), "items")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, _h, n_words, n_hit, n_items, items, contaminated for every row of docs.
+    """doc_id, _h (text_key), n_words, n_hit, n_items, items, contaminated for every row of docs.
 
     A null text has no words; documents and items without words match nothing. Repeated
-    documents each get their row; repeated items count once by id. An empty benchmark leaves
-    every document clean.
+    documents each get their row; repeated items count once by id. Very long texts are winnowed
+    whole. An empty benchmark leaves every document clean, an empty docs gives no rows. Other
+    columns of both are ignored, whatever their names.
     """
     found = hits(docs, item_windows(benchmark, item_col, item_text_col), id_col, text_col)
     # Equal (id, text) rows have equal hits, so distinct word positions are right for repeats too.
@@ -99,12 +146,10 @@ def contamination(
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), F.size("at").cast("long").alias("n_hit"), "items")
-    every = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(whole(text_col)).alias("_h"), F.size(words(whole(text_col))).cast("long").alias("n_words")
-    )
+    every = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("_h"), n_words(whole(text_col)).alias("n_words"))
     out = every.join(spans, every["doc_id"].eqNullSafe(spans["_id"]) & (every["_h"] == spans["_hh"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.expr("slice(array(cast(null as bigint)), 1, 0)"))
+    items = F.coalesce("items", F.filter(F.array(F.lit(None).cast(benchmark.schema[item_col].dataType)), lambda x: F.lit(False)))
     return out.select(
         "doc_id",
         "_h",
@@ -123,8 +168,10 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, whose ids are unique, without contaminated rows, in docs' own columns."""
-    return without(docs, contamination(docs, benchmark, id_col, text_col).where("contaminated").select("doc_id"), id_col)
+    """docs without contaminated rows, in docs' own columns. A row goes by its id and text: rows
+    that repeat both go together, another text of the same id is judged by itself."""
+    gone = contamination(docs, benchmark, id_col, text_col).where("contaminated").select("doc_id", "_h")
+    return without(docs, gone, id_col, text_col)
 
 
 SQL = r"""

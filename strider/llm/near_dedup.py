@@ -2,7 +2,7 @@
 
 1. A scan hashes every document's distinct word shingles. It keeps the set's size, a hash of the
    whole set, the low B_BITS of PERMUTATIONS minima, packed, and a key per band of minima.
-2. Documents with the same set are one class from here on, whatever their number.
+2. Documents with the same set (128 bits of its hash) are one class from here on, whatever their number.
 3. Classes that share a band key are candidates. A bucket first offers only stars: each member
    against one pivot, another pivot in each round. Confirmed links merge classes, and a bucket
    whose members are all in one component offers nothing more, so a large group of near copies
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strider.llm.components import connected
 from strider.llm.line_index import mix
-from strider.llm.shared import BROADCAST_IDS, give_back, keep, without
+from strider.llm.shared import BROADCAST_IDS, give_back, keep, once, text_key, without
 
 PERMUTATIONS, B_BITS = 192, 2
 STAR_ROUNDS = 3
@@ -93,19 +93,17 @@ def _signatures(k: int, rows: int):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                ns, nodes, checks, bits, bands = [], [], [], [], []
+                ns, nodes, bits, bands = [], [], [], []
                 for text in part.column(1).to_pylist():
                     found = shingles(text, k, memory)
                     ns.append(len(found))
-                    d = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), ">i8").astype(np.int64)
-                    nodes.append(int(d[0]))
-                    checks.append(int(d[1]))
+                    nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
                     low = minima(found)
                     bits.append(packed_bits(low).view(np.int64) if len(found) else None)
                     bands.append(band_keys(low, rows).view(np.int64) if len(found) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "node", "check", "bits", "bands"],
+                    [part.column(0), part.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "h", "n", "node", "bits", "bands"],
                 )
         memory.clear()
         give_back()
@@ -121,9 +119,9 @@ def _sets(k: int):
                 nodes, sets = [], []
                 for text in b.slice(i, 256).column(0).to_pylist():
                     found = shingles(text, k, memory)
-                    nodes.append(int(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), ">i8")[0]))
+                    nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
                     sets.append(found.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
         memory.clear()
         give_back()
 
@@ -185,19 +183,12 @@ def _across(left: DataFrame, sides: DataFrame, sets: DataFrame, num: int, den: i
     return p.join(q, (p["band"] == q["band"]) & possible).select("u", F.col("u_v").alias("v"))
 
 
-def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
-
-    Documents are linked when den * |A and B| >= num * |A or B| over their shingle sets;
-    component_id is the smallest id reachable. Null and empty texts and texts without words have
-    an empty set and are linked with nothing. Rows that repeat an id carry the same decision.
-    Null ids take part in links but never name a component (null if nothing else does). Other
-    columns of docs are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_groups with each row's text_key as h."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("h"))
     r = band_rows(num / den)
-    signed = keep(rows.mapInArrow(_signatures(words, r), "doc_id long, n long, node long, check long, bits array<long>, bands array<long>"), "signatures")
-    classes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    signed = keep(rows.mapInArrow(_signatures(words, r), "doc_id long, h long, n long, node binary, bits array<long>, bands array<long>"), "signatures")
+    classes = signed.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     classes = keep(classes, "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -206,13 +197,13 @@ def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
     # Nodes with many bucket mates are near the middle of their group: the first pivots.
     mates = buckets.groupBy("node").agg(F.sum("members").alias("mates"))
     buckets = keep(buckets.drop("members").join(mates, "node").select("node", "band", "mates"), "buckets")
-    sides = keep(classes.join(buckets.select("node").distinct(), "node").select("node", "first", "n", "bits"), "candidates")
+    sides = keep(classes.join(buckets.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("first"), "n", "bits"), "candidates")
 
     wanted = sides.select(F.col("first").alias("_want")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("_want"))).select("text")
-    sets = keep(texts.mapInArrow(_sets(words), "node long, shingles array<long>").dropDuplicates(["node"]), "shingle_sets")
+    sets = keep(texts.mapInArrow(_sets(words), "node binary, shingles array<long>").dropDuplicates(["node"]), "shingle_sets")
 
     links, labels, tested = None, None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -243,17 +234,33 @@ def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100,
 
     named = classes.select("node", "first")
     if labels is None:
-        named = named.withColumn("component_id", F.col("first"))
+        named = named.withColumn("least", F.col("first"))
     else:
         known = labels.join(named, "node")
         least = known.groupBy("label").agg(F.min("first").alias("least"))
-        named = named.join(known.select("node", "label").join(least, "label").select("node", "least"), "node", "left").select("node", "first", F.coalesce("least", "first").alias("component_id"))
+        named = named.join(known.select("node", "label").join(least, "label").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("least"))
     # A class of its own keeps each row's id; `named` has a row per distinct set.
-    out = signed.select("doc_id", "n", "node").join(named.select("node", "component_id"), "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    some, none = signed.where("n > 0").select("doc_id", "h", "n", "node"), signed.where("n = 0")
+    out = some.join(named.select("node", "least"), "node").select("doc_id", "h", "n", F.col("least.doc_id").alias("component_id"), F.struct("doc_id", "h").eqNullSafe(F.struct("least.doc_id", "least.h")).alias("kept"))
+    out = out.unionByName(none.select("doc_id", "h", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def near_groups(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    Documents are linked when den * |A and B| >= num * |A or B| over their shingle sets;
+    component_id is the smallest id reachable. Null and empty texts and texts without words have
+    an empty set and are linked with nothing. Of rows that share an id the one whose text has the
+    least hash stays; rows that repeat both carry the same decision. Null ids take part in links
+    but never name a component (null if nothing else does). Very long texts are shingled whole;
+    an empty table gives no rows. Other columns of docs are ignored, whatever their names.
+    """
+    return _grouped(docs, words, num, den, id_col, text_col).drop("h")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, whose ids are unique, with one document of each group, in docs' own columns."""
-    return without(docs, near_groups(docs, words, num, den).where(~F.col("kept")).select("doc_id"))
+def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group, in docs' own columns. Rows without words are in no group;
+    those, too, stand once where they repeat both id and text."""
+    gone = _grouped(docs, words, num, den, id_col, text_col).where(~F.col("kept")).select("doc_id", "h")
+    return once(without(docs, gone, id_col, text_col), id_col, text_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -54,17 +56,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the ids of gone (its first column). Rows without an id can't be named and stay.
+def text_key(c: Column | str) -> Column:
+    """With the id it names a row: rows that agree in both are repeats of one another."""
+    return F.xxhash64(whole(c))
 
-    gone is counted first: up to BROADCAST_IDS ids go to all tasks, and no text is shuffled."""
-    ids = keep(gone.select(F.col(gone.columns[0]).alias("_gone")).where(F.col("_gone").isNotNull()).distinct(), "gone")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col] == F.col("_gone"), "left_anti")
+
+def _meet(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """docs joined with (_id, _key) rows by id (null equals null) and text, under fresh names."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    same = F.col(names[id_col]).eqNullSafe(F.col("_id")) & (text_key(names[text_col]) == F.col("_key"))
+    # Of equal names in other case or clashing ones none is left while the join runs.
+    return docs.toDF(*names.values()).join(keys, same, how).toDF(*names)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that gone (id, text_key) names; another text of the same id stays.
+
+    gone is counted first: up to BROADCAST_IDS rows go to all tasks, and no text is shuffled."""
+    keys = keep(gone.toDF("_id", "_key").distinct(), "gone")
+    n = keys.count()
+    return docs if n == 0 else _meet(docs, F.broadcast(keys) if n <= BROADCAST_IDS else keys, id_col, text_col, "left_anti")
+
+
+def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs in which rows that agree in id and text stand once. Only such rows are shuffled whole."""
+    keys = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"))
+    keys = keep(keys.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
+    n = keys.count()
+    if n == 0:
+        return docs
+    keys = F.broadcast(keys) if n <= BROADCAST_IDS else keys
+    return _meet(docs, keys, id_col, text_col, "left_anti").unionAll(_meet(docs, keys, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def give_back() -> None:
     """Ends a task's Python part: its worker lives on, and should not keep what the task took."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

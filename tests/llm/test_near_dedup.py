@@ -70,6 +70,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert near_dedup.near_groups(no_docs).count() == 0
 
 
+def test_one_row_of_a_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(4, base), (4, base), (4, base + " tail"), (9, base + " end"), (4, "far away from it all"), (None, base + " no id"), (None, ""), (None, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1))
+    left = near_dedup.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)[:8]) for r in left.collect())
+    assert got == [("4", "far away"), ("4", "w0 w1 w2"), ("7", "None"), ("None", "")]
+
+
 def test_estimate_is_close(spark):
     rng = np.random.default_rng(1)
     for share in (0.5, 0.85, 0.95):
