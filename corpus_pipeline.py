@@ -4,12 +4,15 @@ what stays is tokenised.
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. run() writes
 every stage's result to the cluster's shared folder and reads it again as the next one's docs,
 so a lost executor costs tasks of one stage only.
+
+A row is known by its id and text: ids may repeat or be null, rows that repeat both stand once
+after exact dedup, and another text of the same id is judged by itself. A null text counts as
+empty. Extra columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strider.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from strider.llm.queries import vocabulary
@@ -17,10 +20,12 @@ from strider.llm.shared import keep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest, then the smallest id."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -30,15 +35,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages cover less than a twentieth."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
-    path = vocabulary()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    return bpe.report(bpe.round_trip(docs, vocabulary()), with_ids=True)
 
 
 STAGES = [
