@@ -22,13 +22,13 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Colu
 def asof_forward(left: DataFrame, right: DataFrame, key: str, at: str, then: str, out: str) -> DataFrame:
     """left with out: the first right `then` not before `at` on the same key, or null.
 
-    Both sides go through one sort: a window that looks ahead for the next right row, so a key
-    with many rows on either side costs a sort and not a product."""
+    Both sides go through one sort, latest first: the last right row passed so far is the answer,
+    so a key with many rows on either side costs a sort and one pass."""
     a = left.withColumn("_t", F.col(at)).withColumn("_side", F.lit(0)).withColumn("_then", F.lit(None).cast(right.schema[then].dataType))
     b = right.select(F.col(key), F.col(then).alias("_t"), F.lit(1).alias("_side"), F.col(then).alias("_then"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn(out, F.first("_then", ignorenulls=True).over(w)).where("_side = 0").drop("_t", "_side", "_then")
+    w = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(out, F.last("_then", ignorenulls=True).over(w)).where("_side = 0").drop("_t", "_side", "_then")
 
 
 def next_in_band(start: Column, end: Column, headway: Column, at: Column) -> Column:
@@ -47,3 +47,22 @@ def active_services(services: DataFrame, exceptions: DataFrame, days: DataFrame)
     named = days.join(exceptions, "day").select("day", "service", "kind")
     off = named.where("kind = 2")
     return regular.join(off, ["day", "service"], "left_anti").unionByName(named.where("kind = 1").select("day", "service")).distinct()
+
+
+def shared_half(docs: DataFrame, key: str, words: str) -> DataFrame:
+    """key, same, links: rows by their sorted distinct words: the smallest key with the same ones,
+    and how many other rows share at least half of all words of the two.
+
+    Rows with equal words are one class, so copies cost nothing; classes meet on one of their
+    rarer words: two sets with half in common share one of the n - n/2 + 1 rarest of each."""
+    classes = docs.where(F.size(words) > 0).groupBy(words).agg(F.min(key).alias("same"), F.count(F.lit(1)).alias("n"))
+    each = classes.select("same", "n", F.col(words).alias("t"), F.explode(words).alias("w"))
+    often = each.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "w").withColumn("i", F.row_number().over(Window.partitionBy("same").orderBy("often", "w")))
+    rare = ranked.where(F.col("i") <= F.size("t") - F.ceil(F.size("t") / 2) + 1).select("w", "same", "n", "t")
+    other = rare.select("w", F.col("same").alias("other"), F.col("n").alias("m"), F.col("t").alias("u"))
+    pairs = rare.join(other, "w").where("same <> other").select("same", "other", "m", "t", "u").distinct()
+    both = F.size(F.array_intersect("t", "u"))
+    near = pairs.where(both * 2 >= F.size("t") + F.size("u") - both).groupBy("same").agg(F.sum("m").alias("m"))
+    linked = classes.join(near, "same", "left").select(F.col(words).alias("_w"), "same", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return docs.join(linked, F.col(words) == F.col("_w")).select(key, "same", "links")

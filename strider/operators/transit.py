@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed: how far a gap may be from its band's mean.
@@ -11,30 +10,27 @@ TOLERANCE_S, TOLERANCE_SHARE = 60, 0.1
 
 
 def headway_bands(departures: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """keys, start, end, headway: distinct departures of a lane and service cut into bands whose
-    gaps stay near the mean so far. Each step needs the band that the last one left, so a lane's
-    day is a small ordered fold; lanes are dealt out by Spark. A lane has at most 86 400 seconds."""
-    names = [f.name for f in departures.select(*keys).schema]
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in departures.select(*keys).schema) + ", start int, end int, headway int"
-
-    def cut(p: pd.DataFrame) -> pd.DataFrame:
-        times, rows, first = sorted(set(p[at].tolist())), [], 0
-        while first < len(times):
-            last = min(first + 1, len(times) - 1)
-            while last + 1 < len(times):
-                mean = (times[last] - times[first]) / (last - first)
-                if abs(times[last + 1] - times[last] - mean) > max(TOLERANCE_S, mean * TOLERANCE_SHARE):
-                    break
-                last += 1
-            head = int((times[last] - times[first]) / (last - first) + 0.5) if last > first else 0
-            rows.append((times[first], times[last], head))
-            first = last + 1
-        out = pd.DataFrame(rows, columns=["start", "end", "headway"])
-        for i, k in enumerate(names):
-            out.insert(i, k, p[k].iloc[0])
-        return out
-
-    return departures.select(*keys, at).distinct().groupBy(*keys).applyInPandas(cut, ddl)
+    """keys, start, end, headway: the distinct departures of a lane and service as bands.
+
+    A band takes the next departure while its gap is within TOLERANCE_S seconds, or a share of
+    TOLERANCE_SHARE, of the band's mean gap so far; a band of one takes any. A lane's day has at
+    most 86 400 seconds, so its sorted times are a bounded array, and the bands a fold over it."""
+    bands = "array<struct<start:int,end:int,n:int>>"
+    band = lambda start, end, n: F.struct(start.alias("start"), end.alias("end"), n.cast("int").alias("n"))
+
+    def take(out: Column, t: Column) -> Column:
+        last = F.element_at(out, -1)
+        mean = (last["end"] - last["start"]) / (last["n"] - 1)
+        fits = (last["n"] == 1) | (F.abs(t - last["end"] - mean) <= F.greatest(F.lit(float(TOLERANCE_S)), mean * TOLERANCE_SHARE))
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(band(last["start"], t, last["n"] + 1)))
+        return F.when(fits, longer).otherwise(F.concat(out, F.array(band(t, t, F.lit(1)))))
+
+    lanes = departures.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(at).cast("int"))).alias("_t"))
+    first = F.array(band(F.get("_t", F.lit(0)), F.get("_t", F.lit(0)), F.lit(1))).cast(bands)
+    cut = F.aggregate(F.slice("_t", 2, F.size("_t")), first, lambda out, t: take(out, t).cast(bands))
+    rows = lanes.select(*keys, F.inline(cut))
+    gap = F.floor((F.col("end") - F.col("start")) / (F.col("n") - 1) + 0.5)
+    return rows.select(*keys, "start", "end", F.when(F.col("n") > 1, gap).otherwise(0).cast("int").alias("headway"))
 
 
 def segments(stop_times: DataFrame) -> DataFrame:
@@ -52,3 +48,51 @@ def segments(stop_times: DataFrame) -> DataFrame:
     routes = hops.groupBy("a", "b", "route").count().groupBy("a", "b").agg(F.min_by("route", F.struct(-F.col("count"), F.col("route"))).alias("route"))
     times = hops.groupBy("a", "b").agg(F.percentile("s", F.lit(0.5)).alias("crossing_s"))
     return times.join(waits, ["a", "b"]).join(routes, ["a", "b"]).select("a", "b", "crossing_s", F.least(F.col("gap") / 2, F.lit(600.0)).alias("wait_s"), "route")
+
+
+def stop_offsets(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, offset: of calls (keys, trip, seq, at) the median time from each trip's start at
+    each stop, never before that of an earlier stop."""
+    from pyspark.sql import Window
+
+    since = F.col("at") - F.min("at").over(Window.partitionBy(*keys, "trip"))
+    medians = calls.withColumn("s", since).groupBy(*keys, "seq").agg(F.percentile("s", F.lit(0.5)).alias("m"))
+    run = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return medians.select(*keys, "seq", F.max("m").over(run).alias("offset"))
+
+
+def active_on(services: DataFrame, day: Column) -> DataFrame:
+    """Services (first, last, mask) that run at all and whose range holds a day."""
+    return services.where((F.col("first") <= day) & (day <= F.col("last")) & (F.col("mask") != 0))
+
+
+def service_days(at: Column, zone: str) -> Column:
+    """The three service days that may hold an instant (UTC): yesterday's, today's and tomorrow's
+    in a zone, with the seconds since that day's midnight (over 86 400 for yesterday's)."""
+    local = F.from_utc_timestamp(at, zone)
+    seconds = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    return F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.struct(F.date_add(F.to_date(local), i).alias("day"), (seconds - i * 86400).alias("seconds")))
+
+
+def majority_services(runs: DataFrame, days: DataFrame, weeks: int = 6) -> DataFrame:
+    """day, service: days (day) beyond a feed's end take the services that ran on most of the
+    last `weeks` same weekdays of runs (day, service); at half of them the latest decides."""
+    end = runs.agg(F.max("day")).first()[0]
+    if end is None:
+        return days.join(runs, "day").select("day", "service")
+    last = F.date_add(F.lit(end), -F.pmod(F.datediff(F.lit(end), F.col("day")), F.lit(7)))
+    looked = days.where(F.col("day") > end).select("day", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(weeks - 1)), lambda i: F.date_add(last, -7 * i))).alias("back", "past"))
+    voted = looked.join(runs.select(F.col("day").alias("past"), "service").distinct(), "past").groupBy("day", "service").agg(F.count(F.lit(1)).alias("n"), F.min("back").alias("nearest"))
+    won = voted.where((F.col("n") * 2 > weeks) | (F.col("n") * 2 == weeks) & (F.col("nearest") == 0)).select("day", "service")
+    return days.where(F.col("day") <= end).join(runs, "day").select("day", "service").distinct().unionByName(won)
+
+
+def merged_bands(lists: Column) -> Column:
+    """Arrays of (offset, bands) as one array of bands (start, end, headway), moved and sorted."""
+    moved = F.transform(lists, lambda x: F.transform(x["bands"], lambda b: F.struct((b["start"] + x["offset"]).alias("start"), (b["end"] + x["offset"]).alias("end"), b["headway"].alias("headway"))))
+    return F.array_sort(F.flatten(moved))
+
+
+def schedule_bucket(elapsed: Column, width: int = 300, most: int = 48) -> Column:
+    """The bucket of a time since departure, to the nearest, within a horizon of `most` buckets."""
+    return F.greatest(F.lit(0), F.least(F.floor(elapsed / width + 0.5).cast("int"), F.lit(most)))

@@ -67,23 +67,34 @@ def lead_over_rest(df: DataFrame, keys: list[str], value: str, out: str = "lead"
     return df.withColumn(out, F.when(F.count(F.lit(1)).over(w) > 1, F.col(value) - F.when(F.col(value) == first, second).otherwise(first)))
 
 
-def skyline(df: DataFrame, better_low: list[str], order: str, buckets: int = 64) -> DataFrame:
+def skyline(df: DataFrame, better_low: list[str], order: str, fan_in: int = 8) -> DataFrame:
     """Rows that no other dominates (at most as large in every column, smaller in one; of equal
-    rows the earliest stands).
-
-    Rows are dealt into buckets, each is thinned to its own skyline, and only what is left of
-    them meets: the skyline of the parts' skylines is the skyline of the whole."""
-
-    def thin(rows: DataFrame, keys: list[str]) -> DataFrame:
-        other = rows.select(*[F.col(c).alias(f"_{c}") for c in [*better_low, order, *keys]])
-        same = [F.col(k) == F.col(f"_{k}") for k in keys]
-        le, lt, eq = F.lit(True), F.lit(False), F.lit(True)
-        for c in better_low:
-            le, lt, eq = le & (F.col(f"_{c}") <= F.col(c)), lt | (F.col(f"_{c}") < F.col(c)), eq & (F.col(f"_{c}") == F.col(c))
-        beats = le & (lt | eq & (F.col(f"_{order}") < F.col(order)))
-        for k in same:
-            beats = k & beats
-        return rows.join(other, beats, "left_anti")
-
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
-    return thin(thin(dealt, ["_bucket"]).drop("_bucket"), [])
+    rows the earliest stands). Rows with a null or NaN in a column are left out.
+
+    Each partition is sorted by the columns' sum, so that no row is dominated by a later one, and
+    thinned in one pass against the rows that stand so far. What is left of `fan_in` partitions
+    meets in one, round by round: the skyline of the parts' skylines is that of the whole."""
+    import numpy as np
+
+    def thin(batches):
+        stand = np.zeros((0, len(better_low)))
+        for p in batches:
+            x, keep = p[better_low].to_numpy(float), []
+            for i, row in enumerate(x):
+                if not (stand <= row).all(axis=1).any():
+                    stand = np.vstack([stand, row])
+                    keep.append(i)
+            yield p.iloc[keep]
+
+    finite = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in better_low]
+    rows, total = df, F.lit(0.0)
+    for c, ok in zip(better_low, finite):
+        rows, total = rows.where(ok), total + F.col(c).cast("double")
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, order)
+    while True:
+        rows = rows.sortWithinPartitions(total, *better_low, order).mapInPandas(thin, df.schema)
+        if tasks == 1:
+            return rows
+        tasks = -(-tasks // fan_in)
+        rows = rows.repartition(tasks)

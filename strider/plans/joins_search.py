@@ -56,23 +56,20 @@ def running_services(spark, d):
 
 
 def segment_times(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("trip"), F.col("l_returnflag").alias("route"), "l_linenumber", "l_partkey", (F.col("l_suppkey") % 12).alias("stop"), ((F.col("l_orderkey") % 900) * 60 + F.col("l_linenumber") * 300 + F.col("l_partkey") % 120).cast("double").alias("dep"))  # noqa: E741
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip"), F.col("l_returnflag").alias("route"), "l_linenumber", "l_partkey", (F.col("l_suppkey") % 12).alias("stop"), ((F.col("l_orderkey") % 900) * 60 + F.col("l_linenumber") * 300 + F.col("l_partkey") % 120).cast("double").alias("dep"))  # noqa: E741
     rows = l.groupBy("trip", F.col("l_linenumber").alias("seq")).agg(F.min(F.struct("l_partkey", "route", "stop", "dep")).alias("m")).select("trip", "seq", "m.route", "m.stop", "m.dep")
     return transit.segments(rows)
 
 
 def shared_words(spark, d):
-    """Pairs of part names with half of their words in common, joined by words."""
-    p = table(spark, d, "part").where("p_partkey % 10 = 0").select("p_partkey", F.array_distinct(text.tokens(F.lower("p_name"))).alias("t"))
-    a = p.select("p_partkey", "t", F.explode("t").alias("w"))
-    b = a.select(F.col("p_partkey").alias("other"), F.col("t").alias("u"), "w")
-    met = a.join(b, "w").where("p_partkey < other").select("p_partkey", "other", "t", "u").distinct()
-    return met.withColumn("j", F.round(text.jaccard(F.col("t"), F.col("u")), 6)).where("j >= 0.5").select("p_partkey", "other", "j")
+    """Parts by name: the first part with the same words, and how many others share half of them."""
+    p = table(spark, d, "part").select("p_partkey", F.array_sort(F.array_distinct(text.tokens(F.lower("p_name")))).alias("t"))
+    return joins.shared_half(p, "p_partkey", "t")
 
 
 def name_search(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.tokens(F.lower("p_name")).alias("tokens"), F.pmod(F.col("p_size") * 5, F.lit(256)).alias("prominence"))
-    names = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("q"), text.tokens(F.lower("p_name")).alias("t"))
+    names = table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("q"), text.tokens(F.lower("p_name")).alias("t"))
     queries = names.select("q", F.concat(F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - 1)), F.array(F.substring(F.element_at("t", -1), 1, 3))).alias("tokens"))
     return search.search(docs, search.postings(docs), queries, 10).select("q", "doc", F.round("score", 6).alias("score"))
 
@@ -147,18 +144,18 @@ d AS (SELECT DATE '1995-01-01' + CAST(i AS INTEGER) AS day FROM range(90) t(i))
 SELECT day, service FROM d, s WHERE day BETWEEN f AND l AND (mask >> CAST(isodow(day) - 1 AS INTEGER)) & 1 = 1 AND NOT EXISTS (SELECT 1 FROM x WHERE x.service = s.service AND x.day = d.day AND kind = 2)
 UNION SELECT day, service FROM x WHERE kind = 1 AND day IN (SELECT day FROM d)""",
     "segment_times": """WITH l AS (SELECT l_orderkey AS trip, l_linenumber AS seq, arg_min(l_returnflag, (l_partkey, l_returnflag, l_suppkey % 12)) AS route, arg_min(l_suppkey % 12, (l_partkey, l_returnflag, l_suppkey % 12)) AS stop,
-    CAST((l_orderkey % 900) * 60 + l_linenumber * 300 + min(l_partkey) % 120 AS DOUBLE) AS dep FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_linenumber),
+    CAST((l_orderkey % 900) * 60 + l_linenumber * 300 + min(l_partkey) % 120 AS DOUBLE) AS dep FROM lineitem GROUP BY l_orderkey, l_linenumber),
 h AS (SELECT * FROM (SELECT route, stop AS a, lead(stop) OVER w AS b, dep, lead(dep) OVER w - dep AS s FROM l WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE b IS NOT NULL AND b <> a),
 g AS (SELECT a, b, dep - lag(dep) OVER (PARTITION BY a, b ORDER BY dep) AS gap FROM (SELECT DISTINCT a, b, dep FROM h)),
 w AS (SELECT a, b, median(gap) AS gap FROM g GROUP BY ALL), r AS (SELECT a, b, arg_min(route, (-n, route)) AS route FROM (SELECT a, b, route, count(*) AS n FROM h GROUP BY ALL) GROUP BY a, b),
 t AS (SELECT a, b, median(s) AS crossing_s FROM h GROUP BY a, b)
 SELECT a, b, crossing_s, CASE WHEN gap / 2 < 600 THEN gap / 2 ELSE 600.0 END AS wait_s, route FROM t JOIN w USING (a, b) JOIN r USING (a, b)""",
-    "shared_words": f"""WITH p AS (SELECT p_partkey, list_distinct({_TOK}) AS t FROM part WHERE p_partkey % 10 = 0)
-SELECT a.p_partkey, b.p_partkey AS other, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS j FROM p a, p b
-WHERE a.p_partkey < b.p_partkey AND len(list_intersect(a.t, b.t)) > 0 AND round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) >= 0.5""",
+    "shared_words": f"""WITH p AS (SELECT p_partkey, list_sort(list_distinct({_TOK})) AS t FROM part)
+SELECT a.p_partkey, min(b.p_partkey) FILTER (WHERE a.t = b.t) AS same, count(*) - 1 AS links FROM p a, p b
+WHERE len(list_intersect(a.t, b.t)) > 0 AND 2 * len(list_intersect(a.t, b.t)) >= len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)) GROUP BY a.p_partkey""",
     "name_search": f"""WITH d AS (SELECT p_partkey AS doc, {_TOK} AS t, (p_size * 5) % 256 AS prom FROM part),
 i AS (SELECT doc, len(t) AS words, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM d),
-q AS (SELECT doc AS q, t[1:len(t) - 1] || [substr(t[len(t)], 1, 3)] AS t FROM d WHERE doc % 100 = 0),
+q AS (SELECT doc AS q, t[1:len(t) - 1] || [substr(t[len(t)], 1, 3)] AS t FROM d WHERE doc % 20 = 0),
 w AS (SELECT q, len(t) AS n, unnest(t) AS word, unnest(range(0, len(t))) AS k FROM q),
 m AS (SELECT q, n, k, doc, words, max(CASE WHEN token = word THEN 1.0::DOUBLE ELSE 0.8::DOUBLE + 0.2::DOUBLE * length(word) / length(token) END) AS quality, min(pos) AS pos
     FROM w JOIN i ON token = word OR (k = n - 1 AND starts_with(token, word)) GROUP BY ALL),

@@ -56,7 +56,7 @@ def line_ordinals(spark, d):
 
 def cumulative_quantity(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("along"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("along"))
 
 
 def leads(spark, d):
@@ -97,7 +97,7 @@ def within_cap(spark, d):
 
 def pareto(spark, d):
     """Parts that no other part of their brand beats in price, size and key order."""
-    rows = table(spark, d, "part").where("p_size <= 40").select("p_partkey", F.floor("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("double").alias("size"), F.pmod(F.col("p_partkey") * 31, F.lit(97)).cast("double").alias("penalty"))
+    rows = table(spark, d, "part").select("p_partkey", F.floor("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("double").alias("size"), F.pmod(F.col("p_partkey") * 31, F.lit(97)).cast("double").alias("penalty"))
     return windows.skyline(rows, ["price", "size", "penalty"], "p_partkey").select("p_partkey", "price", "size", "penalty")
 
 
@@ -132,7 +132,7 @@ WITH r AS (SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER
 SELECT user_id, event_id, peak, l[len(l) // 2 + 1] AS recent FROM r""",
     "decayed_counts": """SELECT user_id, event_type, round(sum(pow(2.0, -(1800000000 - floor(epoch(ts))) / 2592000.0)) * 1e6, 4) AS weight, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_seen FROM events GROUP BY ALL""",
     "line_ordinals": """SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) - 1 AS ordinal FROM lineitem""",
-    "cumulative_quantity": """SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS along FROM lineitem WHERE l_orderkey % 4 = 0""",
+    "cumulative_quantity": """SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS along FROM lineitem""",
     "lead_over_rest": """SELECT a.s_nationkey, a.s_suppkey, round(a.s_acctbal - (SELECT max(b.s_acctbal) FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_suppkey <> a.s_suppkey), 2) AS lead FROM supplier a""",
     "climbs": """
 WITH h AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS h FROM events), s AS (SELECT user_id, h - lag(h) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM h)
@@ -148,7 +148,7 @@ SELECT user_id, event_type, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, coun
     "evicted_over_cap": """
 WITH h AS (SELECT event_type, event_id, sum(length(props)) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS held FROM events) SELECT event_type, event_id FROM h WHERE held > 2000""",
     "pareto_parts": """
-WITH p AS (SELECT p_partkey, floor(p_retailprice) AS price, CAST(p_size AS DOUBLE) AS size, CAST((p_partkey * 31) % 97 AS DOUBLE) AS penalty FROM part WHERE p_size <= 40)
+WITH p AS (SELECT p_partkey, floor(p_retailprice) AS price, CAST(p_size AS DOUBLE) AS size, CAST((p_partkey * 31) % 97 AS DOUBLE) AS penalty FROM part)
 SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.price <= a.price AND b.size <= a.size AND b.penalty <= a.penalty
     AND (b.price < a.price OR b.size < a.size OR b.penalty < a.penalty OR b.p_partkey < a.p_partkey))""",
 }

@@ -176,7 +176,7 @@ SELECT p_partkey, array_to_string(list_sort(list_distinct(t)), ' ') AS key, CAST
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(strip_accents(text), '[''‘’ʼ`]', '', 'g')), '[^\pL\pN]+'), lambda x: x <> '') AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n, CAST(len(list_distinct(t)) AS INTEGER) AS "distinct", t[1] AS first FROM t""",
     "street_names": """
-WITH c AS (SELECT c_custkey, CAST(c_custkey % 1000 AS INTEGER) AS n, ['EAST', 'WEST', 'NORTH', 'SOUTH'][c_custkey % 4 + 1] || ' ' || (c_custkey % 99 + 1) || ' ' || ['STREET', 'AVENUE', 'BOULEVARD', 'BROADWAY'][c_nationkey % 4 + 1] AS street FROM customer),
+WITH c AS (SELECT c_custkey, CAST(c_custkey % 1000 AS INTEGER) AS n, ['E', 'W', 'N', 'S'][c_custkey % 4 + 1] || ' ' || (c_custkey % 99 + 1) || ' ' || ['ST', 'AVE', 'BLVD', 'BROADWAY'][c_nationkey % 4 + 1] AS street FROM customer),
 w AS (SELECT *, n // 100 AS h, n % 100 AS r, ['one','two','three','four','five','six','seven','eight','nine'] AS ones,
     ['first','second','third','fourth','fifth','sixth','seventh','eighth','ninth','tenth','eleventh','twelfth','thirteenth','fourteenth','fifteenth','sixteenth','seventeenth','eighteenth','nineteenth'] AS small,
     ['ten','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety'] AS tens FROM c)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strider.operators import stats
 from strider.sources.tables import table
 
-#: Fixed: fronting rule constants.
-MIN_LOTS, GATE_SHARE, GATE_HEIGHT = 4, 0.3, 25
+#: The fronting rule, with a gate that the stand-in columns reach.
+MIN_LOTS, GATE_SHARE, GATE_HEIGHT = 4, 0.3, 30
 
 
 def fronting_signals(spark, d):
@@ -18,11 +19,14 @@ def fronting_signals(spark, d):
         .join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("block"), F.col("p_size").alias("height")), "l_partkey")
         .join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.expr("shiftleft(1, int(substring(o_orderpriority, 1, 1)))").alias("flag")), "l_orderkey")
     )
-    signals = lots.groupBy("block").agg(
-        F.count(F.lit(1)).alias("lots"), F.round(stats.share_at_least(F.col("l_returnflag") != "N", MIN_LOTS), 6).alias("share"), F.expr("bit_or(flag)").cast("int").alias("flags")
-    )
-    heights = stats.upper_median(lots, ["block"], "height", "height")
-    gated = signals.join(heights, "block").where((F.col("share") >= GATE_SHARE) & (F.col("height") <= GATE_HEIGHT + 5) & (F.col("flags").bitwiseAND(6) != 0))
+    # One pass over the joined rows: counts by (block, height) give shares, flags and the median.
+    by_height = lots.groupBy("block", "height").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("l_returnflag") != "N", 1).otherwise(0)).alias("hits"), F.expr("bit_or(flag)").alias("flag"))
+    w = Window.partitionBy("block")
+    run = by_height.withColumn("run", F.sum("n").over(w.orderBy("height").rowsBetween(Window.unboundedPreceding, 0))).withColumn("lots", F.sum("n").over(w))
+    middle = F.floor(F.col("lots") / 2) + 1
+    gated = run.groupBy("block", "lots").agg(F.sum("hits").alias("hits"), F.expr("bit_or(flag)").cast("int").alias("flags"), F.max(F.when((F.col("run") - F.col("n") < middle) & (middle <= F.col("run")), F.col("height"))).alias("height"))
+    gated = gated.withColumn("share", F.round(F.when(F.col("lots") >= MIN_LOTS, F.col("hits") / F.col("lots")).otherwise(0.0), 6))
+    gated = gated.where((F.col("share") >= GATE_SHARE) & (F.col("height") <= GATE_HEIGHT) & (F.col("flags").bitwiseAND(6) != 0))
     return gated.select("block", "lots", "share", "height", "flags").orderBy(F.desc("share"), "block").limit(20)
 
 
@@ -57,7 +61,7 @@ def axes(spark, d):
 
 
 def composites(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 4").select("l_orderkey", "l_discount", "l_quantity")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_discount", "l_quantity")
     return rows.groupBy("l_orderkey").agg(
         F.round(stats.any_of(F.col("l_discount")), 10).alias("any_discount"),
         F.round(stats.saturated(F.sum(F.exp(-F.pow(F.col("l_quantity") / 40.0, F.lit(2)))), 0.7), 6).alias("amenity"),
@@ -136,7 +140,7 @@ SELECT user_id, arg_min(event_type, (-n, f)) AS mode, max(n) AS votes FROM c GRO
     "composites": """SELECT l_orderkey, round(1 - exp(sum(ln(1 - l_discount))), 10) AS any_discount, round(1 - exp(-0.7 * sum(exp(-pow(l_quantity / 40.0, 2)))), 6) AS amenity,
     round(least(1.0, sum(l_quantity / 100.0)), 6) AS cover,
     round(sum(CASE WHEN l_discount > 0 THEN l_quantity * l_discount END) / sum(CASE WHEN l_discount > 0 THEN l_quantity END), 6) AS depth
-    FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey""",
+    FROM lineitem GROUP BY l_orderkey""",
     "top_kinds": """
 WITH t AS (SELECT p_type FROM part GROUP BY p_type ORDER BY count(*) DESC, p_type LIMIT 3)
 SELECT coalesce(t.p_type, 'Other') AS label, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part LEFT JOIN t ON part.p_type = t.p_type GROUP BY 1""",
