@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 def settled(df: DataFrame) -> DataFrame:
     """df, computed and cut from its lineage in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    if not sc.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))  # one machine: its own folder is shared
     return df.checkpoint()
 
 
@@ -47,22 +50,26 @@ def components(edges: DataFrame) -> DataFrame:
 def shortest_within(edges: DataFrame, seeds: DataFrame, radius: float) -> DataFrame:
     """node, dist, parent from the nearest of seeds (node, dist), up to radius, over edges (a, b, w).
 
-    Label-correcting rounds: only nodes that improved spread again; a round is one join and one
-    min, until none improves. Weights are not negative, so rounds end. Ties take the smaller parent."""
+    Label-correcting rounds: only nodes that came nearer spread again; a round is one join and one
+    min, until none does. Weights are not negative, so rounds end. Of several parents at the same
+    distance the smallest stands (only over edges with a weight, so that parents lead to a seed)."""
     adjacency = settled(edges.select("a", "b", "w"))
     if not adjacency.where("w < 0").isEmpty():
         raise ValueError("edges with negative weights")
     best = settled(seeds.select("node", F.col("dist").cast("double").alias("dist"), F.lit(None).cast("bigint").alias("parent")))
-    front = best
+    front = best.select("node", "dist")
     while True:
-        step = front.join(adjacency, front["node"] == adjacency["a"]).select(F.col("b").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("a").cast("bigint").alias("parent")).where(F.col("dist") <= radius)
-        step = step.groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("m")).select("node", F.col("m.dist").alias("nd"), F.col("m.parent").alias("np"))
-        old = best.select("node", F.col("dist").alias("od"))
-        front = settled(step.join(old, "node", "left").where(F.col("od").isNull() | (F.col("nd") < F.col("od"))).select("node", F.col("nd").alias("dist"), F.col("np").alias("parent")))
-        if front.isEmpty():
-            break
-        best = settled(best.join(front.select("node"), "node", "left_anti").unionByName(front))
-    return best
+        step = front.join(adjacency, front["node"] == adjacency["a"]).select(F.col("b").alias("node"), "w", F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("a").cast("bigint").alias("parent")).alias("m")).where(F.col("m.dist") <= radius)
+        step = step.groupBy("node").agg(F.min("m").alias("m"), F.min(F.when(F.col("w") > 0, F.col("m"))).alias("tie"))
+        old = best.select("node", F.col("dist").alias("od"), F.col("parent").alias("op"))
+        nearer = F.col("od").isNull() | (F.col("m.dist") < F.col("od"))
+        tied = (F.col("tie.dist") == F.col("od")) & (F.col("tie.parent") < F.col("op"))
+        found = step.join(old, "node", "left").where(nearer | tied).select("node", F.when(nearer, F.col("m")).otherwise(F.col("tie")).alias("m"), nearer.alias("nearer"))
+        found = settled(found.select("node", "m.dist", "m.parent", "nearer"))
+        if found.isEmpty():
+            return best
+        best = settled(best.join(found.select("node"), "node", "left_anti").unionByName(found.drop("nearer")))
+        front = found.where("nearer").select("node", "dist")
 
 
 def collapse_parallel(edges: DataFrame, prefer: list) -> DataFrame:
@@ -97,7 +104,7 @@ def chains(edges: DataFrame) -> DataFrame:
 
 def timed_labels(edges: DataFrame, departures: DataFrame, seeds: DataFrame, horizon: float) -> DataFrame:
     """node, at: earliest arrivals. Edges (a, b, w) are walked; departures (a, b, dep, arr) are
-    rides, taken at the first one not before the arrival at a (an as-of step each round). Rounds
+    rides; any that leaves a not before the arrival there may be the best one. Rounds
     go on until no node improves; no walk or ride takes negative time, so they end."""
     walk, rides = settled(edges.select("a", "b", "w")), settled(departures.select("a", "b", "dep", "arr"))
     if not walk.where("w < 0").isEmpty() or not rides.where("arr < dep").isEmpty():

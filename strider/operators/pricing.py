@@ -72,3 +72,35 @@ def route_shares(steps: DataFrame, factors: list[str]) -> DataFrame:
     """route and the time-weighted mean of each factor over its steps (route, seconds, bytes)."""
     total = F.sum("seconds")
     return steps.groupBy("route").agg(total.alias("seconds"), *[(F.sum(F.col("seconds") * F.col(k)) / total / 255).alias(k) for k in factors])
+
+
+def shade_attribute(tunnel: Column, attribute: Column, intensity: Column, shed: Column) -> Column:
+    """How sunny (negative: how shaded) an edge is; a tunnel is all shade, a deck as far as it shades."""
+    return F.when(tunnel, -intensity).otherwise(attribute * (1 - shed) - shed * intensity)
+
+
+def shelter_attribute(tunnel: Column, canopy: Column, rain_tau: float, shed: Column) -> Column:
+    """What keeps rain off an edge: deck and crown as independent covers; a tunnel the byte's ceiling."""
+    return F.when(tunnel, F.lit(TUNNEL_SHELTER)).otherwise(shed + rain_tau * canopy / 255 * (1 - shed))
+
+
+def ride_multiplier(transit: Column, shelter: Column) -> Column:
+    """The price of a second on rails, never free."""
+    return (1 + transit) * F.greatest(F.lit(FLOOR), 1 - shelter)
+
+
+def crossing_discount(ferry: Column, shelter: Column) -> Column:
+    """The price of a second on the water, never free."""
+    return F.greatest(F.lit(FLOOR), 1 - ferry) * F.greatest(F.lit(FLOOR), 1 - shelter)
+
+
+def kind_seconds(wait: Column, mid_roadway: Column) -> Column:
+    """Seconds over an edge by its kind (columns kind, duration_s, length_m, ascent, descent): a
+    ferry waits and crosses, boarding waits, rides and accesses take their duration, the rest is
+    walked. Infinite where nothing leaves in time."""
+    return (
+        F.when(F.col("kind") == "ferry", capped_wait(wait, FERRY_WAIT_S) + F.col("duration_s"))
+        .when(F.col("kind") == "board", capped_wait(wait, RAIL_WAIT_S, BOARDING_S))
+        .when(F.col("kind").isin("ride", "access"), F.col("duration_s").cast("double"))
+        .otherwise(walk_seconds(mid_roadway))
+    )
