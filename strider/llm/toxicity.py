@@ -40,7 +40,6 @@ BLOCK, FIRST_BLOCKS, NEIGHBOURS, PRIOR_WEIGHT = 64, 4, 15, 0.01
 STEMS = (4, 5)
 THRESHOLD = 0.7
 _WORD = regex.compile(r"\p{L}+").findall
-_CACHE = 100_000
 
 
 def stems_of(word: str) -> list[str]:
@@ -81,8 +80,7 @@ class Index:
         chosen = np.zeros(self.blocks, bool)
         chosen[first] = bound[first] > 0
         score = self._score(segments, w, chosen[block], without)
-        best = np.sort(score)[-k:]
-        least = best[0] if len(best) == k else 0.0
+        least = np.partition(score, self.n - k)[self.n - k] if self.n >= k else 0.0
         more = (bound >= max(least - 1e-9, 1e-30)) & ~chosen
         if more.any():
             score = score + self._score(segments, w, more[block], without)
@@ -158,25 +156,24 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-class _Terms(dict):
-    """word -> the numbers of its terms: itself and its stems, where they are known."""
+class _Terms:
+    """Finds the known terms of a text."""
 
     def __init__(self, number: dict[str, int]):
-        super().__init__()
         self.number = number
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.number[t] for t in (word, *stems_of(word)) if t in self.number)
-        if len(word) <= 40:
-            self[word] = found
-        return found
+        self.stems = [(n, {t[:-1]: i for t, i in number.items() if len(t) == n + 1 and t[-1] == "*"}) for n in STEMS]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a whole text, ascending, and how often each occurs."""
-        if len(self) > _CACHE:
-            self.clear()
-        flat = [t for found in map(self.__getitem__, _WORD((text or "").lower())) for t in found]
-        return np.unique(np.array(flat, np.int64), return_counts=True)
+        seen, number = Counter(_WORD((text or "").lower())), self.number
+        out = {number[w]: k for w, k in seen.items() if w in number}
+        for n, stems in self.stems:
+            for w in [w for w in seen if w[:n] in stems and len(w) > n]:
+                i = stems[w[:n]]
+                out[i] = out.get(i, 0) + seen[w]
+        terms, counts = np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
+        order = np.argsort(terms)
+        return terms[order], counts[order]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -211,7 +208,6 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int,
                 seen[known.counts(text)[0]] += 1
         t = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, t).astype(np.int32)), pa.array(np.append(rows, seen[t]))], names=["t", "n"])
-        known.clear()
         give_back()
 
     found = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
@@ -257,7 +253,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         for part in _slices(batches):
             got = [known.counts(t) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t.astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "toxic", "t", "c"])
-        known.clear()
         give_back()
 
     examples = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, t binary, c binary").collect()
@@ -291,7 +286,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
                 evidence.append([{"doc_id": m.ids[i], "similarity": s, "toxic": int(m.labels[i])} for s, i in zip(cosines[:3].tolist(), rows[:3].tolist())])
             s = np.array(scores, float)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, _EVIDENCE)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
-        known.clear()
         give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
@@ -310,7 +304,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         known = _Terms(m.number)
         for part in _slices(batches):
             yield part.filter(pa.array([m.score(*known.counts(t))[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
-        known.clear()
         give_back()
 
     return docs.mapInArrow(run, docs.schema)
