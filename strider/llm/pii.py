@@ -86,16 +86,16 @@ def entity(kind: Column, value: Column) -> Column:
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """doc_id, h, entities (distinct), term, start, end: every word outside the base spans of a
-    document that has some. Repeated rows count once."""
-    rows = spans.where(F.size("base") > 0).dropDuplicates(["doc_id", "h"])
+    """doc_id, h, times, entities (distinct), term, start, end: every word outside the base spans of a
+    document that has some. Rows that repeat stand once, with how often they do."""
+    rows = spans.where(F.size("base") > 0).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count(F.lit(1)).alias("times"))
     entities = F.array_distinct(F.transform("base", lambda s: entity(s["kind"], s["value"])))
-    rows = rows.select("doc_id", "h", "base", entities.alias("entities"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p"))
-    rows = rows.select("doc_id", "h", "base", "entities", F.posexplode(F.arrays_zip(F.slice("p", 1, F.size("m")).alias("p"), F.col("m").alias("m"))).alias("i", "x"))
+    rows = rows.select("doc_id", "h", "times", "base", entities.alias("entities"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p"))
+    rows = rows.select("doc_id", "h", "times", "base", "entities", F.posexplode(F.arrays_zip(F.slice("p", 1, F.size("m")).alias("p"), F.col("m").alias("m"))).alias("i", "x"))
     # Sums over the pieces before a word say where it stands, in linear time.
     end = F.sum(F.length("x.p") + F.length("x.m")).over(Window.partitionBy("doc_id", "h").orderBy("i")).cast("int")
-    rows = rows.select("doc_id", "h", "base", "entities", F.lower("x.m").alias("term"), end.alias("end"), F.length("x.m").alias("n"))
-    rows = rows.select("doc_id", "h", "base", "entities", "term", (F.col("end") - F.col("n")).alias("start"), "end")
+    rows = rows.select("doc_id", "h", "times", "base", "entities", F.lower("x.m").alias("term"), end.alias("end"), F.length("x.m").alias("n"))
+    rows = rows.select("doc_id", "h", "times", "base", "entities", "term", (F.col("end") - F.col("n")).alias("start"), "end")
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     return rows.where(~inside).drop("base")
 
@@ -103,10 +103,10 @@ def contexts(spans: DataFrame) -> DataFrame:
 def disclosure(docs: DataFrame, near: DataFrame, text_col: str = "text", sure: int = SURE) -> DataFrame:
     """entity, term, share: how much of each entity's information each of its terms gives.
 
-    All counts are of documents, over the whole corpus."""
-    met = near.select("doc_id", "h", "entities", "term").distinct().select(F.explode("entities").alias("entity"), "term")
-    pairs = keep(met.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")), "term_entity")
-    entities = near.select("doc_id", "h", "entities").distinct().select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    All counts are of rows, over the whole corpus: rows that repeat count each, everywhere."""
+    met = near.select("doc_id", "h", "times", "entities", "term").distinct().select(F.explode("entities").alias("entity"), "term", "times")
+    pairs = keep(met.groupBy("entity", "term").agg(F.sum("times").alias("n_te")), "term_entity")
+    entities = near.select("doc_id", "h", "times", "entities").distinct().select(F.explode("entities").alias("entity"), "times").groupBy("entity").agg(F.sum("times").alias("n_e"))
     wanted = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
@@ -123,7 +123,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     """doc_id, h, base, spans for every row of docs; spans are base and the disclosing terms.
 
     Null counts as empty and has no spans. Rows that repeat an id and text get the same spans;
-    together they count once with their entities. Other columns of docs are ignored.
+    each counts as a document of its own. Other columns of docs are ignored.
     """
     # The texts stay behind; only spans and the words around them are kept.
     spans = base_spans(docs, id_col, text_col)
@@ -133,7 +133,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     told = near.select("doc_id", "h", "entities").distinct().select("doc_id", "h", F.explode("entities").alias("entity"))
     told = told.join(shares.select("entity", "term", action.alias("kind")), "entity").groupBy("doc_id", "h", "term").agg(F.max("kind").alias("kind"))
     told = told.withColumnsRenamed({"doc_id": "_id", "h": "_h", "term": "_term"})
-    terms = near.drop("entities").join(told, near["doc_id"].eqNullSafe(told["_id"]) & (near["h"] == told["_h"]) & (near["term"] == told["_term"]))
+    terms = near.drop("entities", "times").join(told, near["doc_id"].eqNullSafe(told["_id"]) & (near["h"] == told["_h"]) & (near["term"] == told["_term"]))
     terms = terms.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value"))).alias("terms"))
     base = spans.drop("text")
     terms = terms.withColumnsRenamed({"doc_id": "_id", "h": "_h"})

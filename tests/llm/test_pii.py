@@ -88,3 +88,12 @@ def test_entities_of_one_and_two_documents(spark):
     told = {d: {t[int(s.split(":")[1]) : int(s.split(":")[2])] for s in found[d] if s[:4] in ("gene", "remo")} for d, t in rows[:3]}
     assert told == {1: {"Zora", "Quill"}, 2: {"Ion", "Brask"}, 3: {"Ion", "Brask"}}
     assert found[None] == [""] and found[100] == [""]
+
+
+def test_rows_that_repeat_count_each_everywhere(spark):
+    rows = [(1, "the quirkmaster wrote to ann@x.org")] * 6 + [(100 + i, "other words stand here and there") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shares = {r.term: r.share for r in pii.disclosure(df, pii.contexts(pii.base_spans(df))).collect()}
+    assert abs(shares["quirkmaster"] - 1) < 1e-9
+    found = pii.find(df).where("doc_id = 1").collect()
+    assert len(found) == 6 and len({str(r.spans) for r in found}) == 1 and len(found[0].spans) == 5
