@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strider.llm.shared import fresh_path, keep, whole
+from strider.llm.shared import BROADCAST_IDS, fresh_path, keep, whole
 
 #: Bytes between two records up to which their ranges are fetched as one; most bytes of a fetch.
 GAP_BYTES, FETCH_BYTES = 64 << 10, 8 << 20
@@ -87,11 +87,17 @@ def parse(raw: bytes) -> dict:
 
 def plan_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, refers_to, revisit: of equal payloads of min_bytes or more, the page
-    with the largest id is the response (rows that repeat that id too), the others revisit it."""
+    with the largest id is the response (rows that repeat that id too), the others revisit it.
+
+    Only payloads that repeat meet the pages again: up to BROADCAST_IDS of them go to all tasks,
+    and no html is shuffled."""
     html = whole(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).alias("bytes"), F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.xxhash64(html).alias("check"))
     key = ["sha", "check", "bytes"]
     shared = rows.where(F.col("bytes") >= min_bytes).groupBy(*key).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = keep(shared, "shared_payloads")
+    if shared.count() <= BROADCAST_IDS:
+        shared = F.broadcast(shared)
     out = rows.join(shared, key, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
