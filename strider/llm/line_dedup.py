@@ -160,12 +160,13 @@ def _by_routing(docs: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
                     hi, lo = pairs[:, 0], pairs[:, 1]
                     hit = shard.counts_of(hi ^ mix(lo, 7), lo) >= min_docs
                     doc, text = np.frombuffer(r["doc"], np.int64)[hit], np.frombuffer(r["hash"], np.int64)[hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(hi[hit].view(np.int64)), pa.array(lo[hit].view(np.int64))], names=["_id", "_h", "hi", "lo"])
+                    keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), int(hit.sum()), [None, pa.py_buffer(pairs[hit].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), keys.cast(pa.binary())], names=["_id", "_h", "key"])
 
     packed = docs.mapInArrow(pack, "shard int, is_index boolean, doc binary, hash binary, blob binary")
     rows = packed.unionByName(index.select("shard", F.lit(True).alias("is_index"), F.lit(b"").alias("doc"), F.lit(b"").alias("hash"), "blob"))
     rows = rows.repartition("shard").sortWithinPartitions("shard", F.desc("is_index"))
-    found = rows.mapInArrow(probe, "_id long, _h long, hi long, lo long").groupBy("_id", "_h").agg(F.collect_set("hi").alias("gone"))
+    found = rows.mapInArrow(probe, "_id long, _h long, key binary").groupBy("_id", "_h").agg(F.collect_set("key").alias("gone"))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["_text_hash"] == found["_h"]), "left").select("doc_id", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +174,8 @@ def _by_routing(docs: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
             for part in _slices(b):
                 rows = []
                 for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    gone = np.array(gone or [], np.int64).view(np.uint64)
-                    rows += _strip([text], lambda pairs, gone=gone: np.isin(pairs[:, 0], gone))
+                    gone = {bytes(k) for k in gone or []}
+                    rows += _strip([text], lambda pairs, gone=gone: np.fromiter((p.tobytes() in gone for p in pairs), bool, len(pairs)))
                 yield _batch(part.column(0), rows)
 
     return joined.mapInArrow(run, _OUT)
@@ -187,7 +188,8 @@ def drop_common_lines(
 
     A line goes, wherever it stands, when its key (stripped of ASCII white space, A-Z lowered) is
     not empty and at least min_docs rows hold it. Null and empty texts are one empty line. Rows
-    that repeat count as documents of their own. Other columns of docs are ignored.
+    that repeat count as documents of their own; very long texts are read whole; an empty table
+    gives no rows. Other columns of docs are ignored, whatever their names.
     """
     index = build_index(line_counts(docs, text_col), min(index_from, min_docs), shard_keys)
     size = index.agg(F.sum(F.length("blob"))).first()[0] or 0
