@@ -57,11 +57,12 @@ class Index:
 
     def __init__(self, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, n_terms: int):
         """Parallel arrays with an entry per term of an example; n examples, n_terms terms."""
-        order = np.lexsort((rows, terms))
+        order = np.lexsort((rows, terms)).astype(np.int32)
         terms = terms[order]
         self.n, self.blocks = n, -(-n // BLOCK)
         self.rows, self.weights = rows[order].astype(np.int32), weights[order].astype(np.float32)
         of = terms.astype(np.int64) * (self.blocks + 1) + self.rows // BLOCK
+        del order
         self.starts = np.flatnonzero(np.diff(of, prepend=-1)).astype(np.int32)  # of segments
         self.sizes = np.diff(np.append(self.starts, len(of))).astype(np.int32)
         self.block = (self.rows[self.starts] // BLOCK).astype(np.int32)
@@ -119,20 +120,27 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """What a fit leaves: bounded by the terms of MAX_EXAMPLES rows, so it can be sent to all tasks."""
 
-    def __init__(self, terms: list[str], weights: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], base: float):
-        """examples: (id, label, its terms' numbers, their counts)."""
-        self.number, self.term_weights, self.base = {t: i for i, t in enumerate(terms)}, weights, base
-        unit = [(d, y, t, self._unit(t, c)) for d, y, t, c in examples]
+    def __init__(self, number: dict[str, int], weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, base: float):
+        """ids, labels and numbers of terms of the examples; terms and counts of all of them in a row."""
+        self.number, self.term_weights, self.base, n = number, weights, base, len(ids)
+        rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        w = (1 + np.log(counts)) * weights[terms]
+        w = (w / np.maximum(np.sqrt(np.bincount(rows, w * w, n)), 1e-30)[rows]).astype(np.float32)
         # Like with like: examples with the same weightiest term are neighbours in their blocks.
-        unit.sort(key=lambda r: (int(r[2][np.argmax(r[3])]) if len(r[2]) else -1, r[0]))
-        self.ids, self.labels = [r[0] for r in unit], np.array([r[1] for r in unit], float)
-        sizes = [len(r[2]) for r in unit]
-        flat = [np.concatenate([r[k] for r in unit]) if unit else np.zeros(0, int) for k in (2, 3)]
-        self.index = Index(flat[0], np.repeat(np.arange(len(unit)), sizes), flat[1], len(unit), len(terms))
+        top = np.full(n, -1)
+        by_weight = np.lexsort((w, rows))
+        top[rows[by_weight]] = terms[by_weight]  # the last one of a row is its largest
+        order = np.lexsort((ids, top))
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.ids, self.labels = ids[order], labels[order].astype(float)
+        self.index = Index(terms, place[rows], w, n, len(number))
         # Every so many examples, CALIBRATION at most, are left out in turn to calibrate the votes.
-        left_out = range(0, len(unit), -(-len(unit) // CALIBRATION) or 1)
-        votes = np.array([self._vote(*self.index.search(unit[i][2], unit[i][3], NEIGHBOURS, i)) for i in left_out])
-        self.knots = isotonic(votes, self.labels[left_out]) if len(unit) else (np.array([0.0, 1.0]), np.array([base, base]))
+        left_out, starts, votes = range(0, n, -(-n // CALIBRATION) or 1), np.append(0, np.cumsum(sizes)), []
+        for i in left_out:
+            own = slice(starts[order[i]], starts[order[i] + 1])
+            votes.append(self._vote(*self.index.search(terms[own], w[own].astype(float), NEIGHBOURS, i)))
+        self.knots = isotonic(np.array(votes), self.labels[left_out]) if n else (np.array([0.0, 1.0]), np.array([base, base]))
 
     def _unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.term_weights[terms]
@@ -196,12 +204,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EX
     return keep(rows.select("doc_id", "toxic", "x.text"), "examples")
 
 
-def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
-    """The rows of docs, and how many of them hold each numbered term, over every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(number)
+def document_frequencies(docs: DataFrame, sent, n_terms: int) -> tuple[int, np.ndarray]:
+    """The rows of docs, and how many of them hold each numbered term (sent: a broadcast dict),
+    over every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, rows = _Terms(sent.value), np.zeros(len(sent.value), np.int64), 0
+        known, seen, rows = _Terms(sent.value), np.zeros(n_terms, np.int64), 0
         for part in _slices(batches):
             rows += part.num_rows
             for text in part.column(0).to_pylist():
@@ -211,7 +219,7 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int,
         give_back()
 
     found = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
-    out, terms = np.zeros(len(number), np.int64), found["t"].to_numpy() >= 0
+    out, terms = np.zeros(n_terms, np.int64), found["t"].to_numpy() >= 0
     out[found["t"][terms]] = found["n"][terms]
     return int(found["n"][~terms].sum()), out
 
@@ -242,11 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     stem = (F.col("n") >= MIN_STEM_DOCS) & (F.col("phi") * F.col("phi") * n >= MIN_CHI2)
     known = (stem | ~F.col("term").endswith("*")) & ((F.col("n") <= max(STOP_LEAST, STOP * n)) | (F.col("phi") >= STOP_RELEVANCE))
     chosen = counted.where(known).select("term", F.greatest("phi", F.lit(RELEVANCE)).alias("phi")).toPandas().sort_values("term")
-    terms = chosen["term"].tolist()
-    total, df = document_frequencies(docs, {t: i for i, t in enumerate(terms)})
-    weights = (np.log((1 + total) / (1 + df)) + 1) * chosen["phi"].to_numpy(float)
-
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    phi, number = chosen["phi"].to_numpy(float), {t: i for i, t in enumerate(chosen["term"])}
+    del chosen
+    sent = docs.sparkSession.sparkContext.broadcast(number)
+    total, df = document_frequencies(docs, sent, len(number))
+    weights = (np.log((1 + total) / (1 + df)) + 1) * phi
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(sent.value)
@@ -255,9 +263,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t.astype(np.int32).tobytes() for t, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], names=["doc_id", "toxic", "t", "c"])
         give_back()
 
-    examples = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, t binary, c binary").collect()
-    base = (n1 + 0.5) / (n + 1)
-    return Model(terms, weights, [(r["doc_id"], r["toxic"], np.frombuffer(r["t"], np.int32), np.frombuffer(r["c"], np.int32)) for r in examples], base)
+    found = rows.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, t binary, c binary").toPandas()
+    ids, labels = found["doc_id"].to_numpy(np.int64), found["toxic"].to_numpy(np.int64)
+    t, c = (np.frombuffer(b"".join(found[k]), np.int32) for k in "tc")
+    sizes = np.array([len(x) // 4 for x in found["t"]], np.int64)
+    del found
+    model = Model(number, weights, ids, labels, sizes, t, c, (n1 + 0.5) / (n + 1))
+    del t, c
+    sent.unpersist()
+    give_back()
+    return model
 
 
 _OUT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
@@ -283,7 +298,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
             for text in part.column(2).to_pylist():
                 p, cosines, rows = m.score(*known.counts(text))
                 scores.append(p)
-                evidence.append([{"doc_id": m.ids[i], "similarity": s, "toxic": int(m.labels[i])} for s, i in zip(cosines[:3].tolist(), rows[:3].tolist())])
+                evidence.append([{"doc_id": int(m.ids[i]), "similarity": s, "toxic": int(m.labels[i])} for s, i in zip(cosines[:3].tolist(), rows[:3].tolist())])
             s = np.array(scores, float)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(evidence, _EVIDENCE)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
         give_back()
