@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,33 @@ def stroke_pixels(lines: DataFrame, step: float, pixel: float) -> DataFrame:
     t = (F.col("_i") + 0.5) / F.col("_n")
     at = lambda p, q: F.floor((F.col(p) + t * (F.col(q) - F.col(p))) / pixel)
     return rows.groupBy(at("ax", "bx").alias("x"), at("ay", "by").alias("y")).agg(F.sum(F.col("_l") / F.col("_n")).alias("length"))
+
+
+def fill(polygons: DataFrame, cell: float) -> DataFrame:
+    """poly, x, y: the cells whose centre lies inside a polygon (poly, ring), even-odd, by the
+    crossings of each row of cells; no cell is tested by itself."""
+    from strider.operators import spatial
+
+    edges = spatial.polygon_edges(polygons).where("y1 <> y2").withColumn("y", F.explode(F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))))
+    centre = (F.col("y") + 0.5) * cell
+    cross = F.col("x1") + (centre - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    met = edges.where((F.col("y1") > centre) != (F.col("y2") > centre)).select("poly", "y", cross.alias("cross"))
+    # Along a row every other crossing opens a span, which the next one closes.
+    w = Window.partitionBy("poly", "y").orderBy("cross")
+    spans = met.select("poly", "y", "cross", F.lead("cross").over(w).alias("to"), F.row_number().over(w).alias("i")).where("i % 2 = 1 AND to IS NOT NULL")
+    first, last = F.ceil(F.col("cross") / cell - 0.5), F.ceil(F.col("to") / cell - 0.5) - 1
+    return spans.where(first <= last).select("poly", F.explode(F.sequence(first, last)).alias("x"), "y")
+
+
+def blurred(cells: DataFrame, kernel: list[float]) -> DataFrame:
+    """x, y, value: a separable blur; kernel holds the weights from the middle outwards. Cells that
+    are missing or null don't count; a cell's weights are scaled to what is there."""
+    reach = len(kernel) - 1
+    for dx, dy in ((1, 0), (0, 1)):
+        offsets = [(k * dx, k * dy) for k in range(-reach, reach + 1) if k]
+        n = neighbours(cells, offsets)
+        parts = [("value", kernel[0]), *[(f"n{i}", kernel[abs(a + b)]) for i, (a, b) in enumerate(offsets)]]
+        total = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in parts), F.lit(0.0))
+        weight = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0))
+        cells = n.select("x", "y", F.when(F.col("value").isNotNull(), total / weight).alias("value"))
+    return cells

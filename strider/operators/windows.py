@@ -98,3 +98,12 @@ def skyline(df: DataFrame, better_low: list[str], order: str, fan_in: int = 8) -
             return rows
         tasks = -(-tasks // fan_in)
         rows = rows.repartition(tasks)
+
+
+def merged_legs(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, leg, first, last, seconds: consecutive steps of one line without a wait between them
+    (columns line, wait, seconds) are one leg."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    new = F.when((F.lag("line").over(w) == F.col("line")) & (F.col("wait") == 0), 0).otherwise(1)
+    legs = steps.withColumn("_new", new).withColumn("leg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return legs.groupBy(*keys, "leg").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.sum(F.col("wait") + F.col("seconds")).alias("seconds"))
