@@ -18,19 +18,14 @@ from pyspark.sql import functions as F
 from strider.llm.shared import BROADCAST_BYTES, ascii_lower, keep, text_key, whole, without
 
 WINDOW, KGRAM, PLACE = 13, 8, 6
-#: Fixed: what separates words, once A-Z are lowered; and words before that.
+#: Fixed: what separates words, once A-Z are lowered.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
-
-
 def _shifted(name: str, by: int) -> Column:
     return F.slice(name, by + 1, F.size(name)) if by else F.col(name)
 
@@ -64,22 +59,33 @@ def _gram_size(n: int) -> int:
     return min(KGRAM, n)
 
 
+def _hashed(texts: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
+    """columns, words, and the hashes of their 1, 2, 4, ... grams."""
+    out = texts.select(*columns, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    return _spread(out, "h", "h", max(map(_gram_size, lengths)), _hash)
+
+
+def _grams(n: int) -> Column:
+    """The hashes of the k-grams for windows of n words, in order."""
+    return F.slice(_over("h", "h", _gram_size(n), _hash), 1, F.greatest(F.size("words") - (_gram_size(n) - 1), F.lit(0)))
+
+
+def _clear(g: Column) -> Column:
+    return g.bitwiseAND(F.lit(-1 << PLACE))
+
+
 def grams(texts: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
     """columns, words and, for windows of each of some lengths n, g<n>: the hashes of the k-grams,
     in order, with the PLACE lowest bits clear."""
-    out = texts.select(*columns, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    out = _spread(out, "h", "h", max(map(_gram_size, lengths)), _hash)
-    whole_grams = lambda n: F.slice(_over("h", "h", _gram_size(n), _hash), 1, F.greatest(F.size("words") - (_gram_size(n) - 1), F.lit(0)))
-    return out.select(*columns, "words", *[F.transform(whole_grams(n), lambda g: g.bitwiseAND(F.lit(-1 << PLACE))).alias(f"g{n}") for n in lengths])
+    return _hashed(texts, lengths, *columns).select(*columns, "words", *[F.transform(_grams(n), _clear).alias(f"g{n}") for n in lengths])
 
 
 def fingerprints(texts: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
     """columns, prints: of texts with words, the winnowed k-grams for windows of each of some
     lengths, as (length, fp, at, near): near are the words that a window around it may hold."""
-    out, last = grams(texts, lengths, *columns), (1 << PLACE) - 1
     # A gram's place, modulo 64, in the lowest bits tells the minimum's place from the minimum.
-    placed = lambda g, i: g.bitwiseOR(i.bitwiseAND(F.lit(last)).cast("long"))
-    out = out.select(*columns, "words", *[F.transform(f"g{n}", placed).alias(f"v{n}") for n in lengths])
+    placed = lambda g, i: _clear(g).bitwiseOR(i.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("long"))
+    out = _hashed(texts, lengths, *columns).select(*columns, "words", *[F.transform(_grams(n), placed).alias(f"v{n}") for n in lengths])
     for n in lengths:
         of = n - _gram_size(n) + 1
         out = _spread(out, f"v{n}", f"v{n}_", of, _lesser)
@@ -93,7 +99,7 @@ def _prints(n: int) -> Column:
     new = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
     at = lambda i: i + F.pmod(F.get(m, i).bitwiseAND(F.lit(last)).cast("int") - i, F.lit(1 << PLACE))
     return F.when(F.size(m) > 0, F.transform(F.transform(new, lambda i: F.struct(i.alias("i"), at(i).alias("at"))), lambda x: F.struct(
-        F.lit(n).alias("length"), F.get(m, x["i"]).bitwiseAND(F.lit(-1 << PLACE)).alias("fp"), x["at"].alias("at"), F.array(*[F.get("words", x["at"] + j) for j in range(-back, n)]).alias("near")
+        F.lit(n).alias("length"), _clear(F.get(m, x["i"])).alias("fp"), x["at"].alias("at"), F.array(*[F.get("words", x["at"] + j) for j in range(-back, n)]).alias("near")
     ))).otherwise(F.expr("cast(array() as array<struct<length:int,fp:bigint,at:int,near:array<string>>>)"))
 
 
@@ -146,7 +152,7 @@ def contamination(
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), F.size("at").cast("long").alias("n_hit"), "items")
-    every = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("_h"), n_words(whole(text_col)).alias("n_words"))
+    every = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("_h"), F.size(words(whole(text_col))).cast("long").alias("n_words"))
     out = every.join(spans, every["doc_id"].eqNullSafe(spans["_id"]) & (every["_h"] == spans["_hh"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.filter(F.array(F.lit(None).cast(benchmark.schema[item_col].dataType)), lambda x: F.lit(False)))
