@@ -57,17 +57,20 @@ class Index:
 
     def __init__(self, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int, n_terms: int):
         """Parallel arrays with an entry per term of an example; n examples, n_terms terms."""
-        order = np.lexsort((rows, terms)).astype(np.int32)
-        terms = terms[order]
+        key = terms.astype(np.int64) * n + rows
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
         self.n, self.blocks = n, -(-n // BLOCK)
         self.rows, self.weights = rows[order].astype(np.int32), weights[order].astype(np.float32)
-        of = terms.astype(np.int64) * (self.blocks + 1) + self.rows // BLOCK
         del order
-        self.starts = np.flatnonzero(np.diff(of, prepend=-1)).astype(np.int32)  # of segments
-        self.sizes = np.diff(np.append(self.starts, len(of))).astype(np.int32)
+        key //= max(1, n)  # terms, in order
+        first = np.append(True, (key[1:] != key[:-1]) | (self.rows[1:] // BLOCK != self.rows[:-1] // BLOCK))[: len(key)]
+        self.starts = np.flatnonzero(first).astype(np.int32)  # of segments
+        terms = key[self.starts]
+        self.sizes = np.diff(np.append(self.starts, len(key))).astype(np.int32)
         self.block = (self.rows[self.starts] // BLOCK).astype(np.int32)
-        self.top = np.maximum.reduceat(self.weights, self.starts) if len(of) else np.zeros(0, np.float32)
-        self.at = np.searchsorted(terms[self.starts], np.arange(n_terms + 1)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weights, self.starts) if len(key) else np.zeros(0, np.float32)
+        self.at = np.searchsorted(terms, np.arange(n_terms + 1)).astype(np.int32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and rows of the k nearest examples, best first; ties by row."""
@@ -81,14 +84,13 @@ class Index:
         chosen = np.zeros(self.blocks, bool)
         chosen[first] = bound[first] > 0
         score = self._score(segments, w, chosen[block], without)
-        least = np.partition(score, self.n - k)[self.n - k] if self.n >= k else 0.0
+        near = score[np.flatnonzero(score)]
+        least = np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else 0.0
         more = (bound >= max(least - 1e-9, 1e-30)) & ~chosen
         if more.any():
             score = score + self._score(segments, w, more[block], without)
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            least = np.partition(score[found], len(found) - k)[len(found) - k]
-            found = found[score[found] >= least]
+        # What is under the k-th best of the first blocks can't be among the best of all.
+        found = np.flatnonzero(score >= max(least, 1e-30))
         found = found[np.lexsort((found, -score[found]))][:k]
         return score[found], found
 
@@ -123,20 +125,23 @@ class Model:
     def __init__(self, number: dict[str, int], weights: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, base: float):
         """ids, labels and numbers of terms of the examples; terms and counts of all of them in a row."""
         self.number, self.term_weights, self.base, n = number, weights, base, len(ids)
-        rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        w = (1 + np.log(counts)) * weights[terms]
-        w = (w / np.maximum(np.sqrt(np.bincount(rows, w * w, n)), 1e-30)[rows]).astype(np.float32)
+        rows, starts = np.repeat(np.arange(n, dtype=np.int32), sizes), np.append(0, np.cumsum(sizes))
+        w = np.log(counts, dtype=np.float32)
+        w += 1
+        w *= weights.astype(np.float32)[terms]
         # Like with like: examples with the same weightiest term are neighbours in their blocks.
         top = np.full(n, -1)
-        by_weight = np.lexsort((w, rows))
-        top[rows[by_weight]] = terms[by_weight]  # the last one of a row is its largest
+        for i in np.flatnonzero(sizes):
+            own = slice(starts[i], starts[i + 1])
+            w[own] /= max(float(np.sqrt(w[own] @ w[own])), 1e-30)
+            top[i] = terms[own][np.argmax(w[own])]
         order = np.lexsort((ids, top))
         place = np.empty(n, np.int32)
         place[order] = np.arange(n, dtype=np.int32)
         self.ids, self.labels = ids[order], labels[order].astype(float)
         self.index = Index(terms, place[rows], w, n, len(number))
         # Every so many examples, CALIBRATION at most, are left out in turn to calibrate the votes.
-        left_out, starts, votes = range(0, n, -(-n // CALIBRATION) or 1), np.append(0, np.cumsum(sizes)), []
+        left_out, votes = range(0, n, -(-n // CALIBRATION) or 1), []
         for i in left_out:
             own = slice(starts[order[i]], starts[order[i] + 1])
             votes.append(self._vote(*self.index.search(terms[own], w[own].astype(float), NEIGHBOURS, i)))
@@ -313,6 +318,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     Each row is judged by its own text, so ids may repeat or be null, and other columns pass
     through whatever their names and values. Null and empty texts stay unless most labels are 1."""
     sent, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), docs.columns.index(text_col)
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
