@@ -113,7 +113,7 @@ def hashes(spark, d):
 def clocks(spark, d):
     raw = F.format_string("%02d:%02d:%02d", (F.col("o_orderkey") % 30).cast("int"), (F.col("o_orderkey") % 60).cast("int"), (F.col("o_custkey") % 60).cast("int"))
     day = F.col("o_orderdate").cast("date")
-    mixed = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "MM/dd/yyyy")).when(F.col("o_orderkey") % 4 == 2, F.date_format(day, "yyyyMMdd")).otherwise(F.lit("n/a"))
+    mixed = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 5 == 1, F.date_format(day, "MM/dd/yyyy")).when(F.col("o_orderkey") % 5 == 2, F.date_format(day, "yyyyMMdd")).when(F.col("o_orderkey") % 5 == 3, F.date_format(day, "M/d/yy HH:mm")).otherwise(F.lit("n/a"))
     return table(spark, d, "orders").select("o_orderkey", text.clock_seconds(raw).alias("seconds"), F.weekday(day).alias("weekday"), text.any_date(mixed).alias("day"), F.datediff(day, F.lit("1992-01-01").cast("date")).alias("number"))
 
 
@@ -189,7 +189,7 @@ WITH RECURSIVE f AS (SELECT p_partkey, p_name, 1 AS i, CAST(2166136261 AS BIGINT
 SELECT f.p_partkey, h AS fnv, sha256(f.p_name) AS sha, CASE WHEN p_retailprice < 1000 THEN CAST(CAST(floor(p_retailprice / 10 + 0.5) * 10 AS INTEGER) AS VARCHAR) || ' m' ELSE printf('%.1f km', p_retailprice / 1000) END AS label
 FROM f JOIN part USING (p_partkey) WHERE i = length(f.p_name) + 1""",
     "clocks": """SELECT o_orderkey, CAST(o_orderkey % 30 * 3600 + o_orderkey % 60 * 60 + o_custkey % 60 AS INTEGER) AS seconds, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday,
-    CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS day, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INTEGER) AS number FROM orders""",
+    CASE WHEN o_orderkey % 5 < 4 THEN CAST(o_orderdate AS DATE) END AS day, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INTEGER) AS number FROM orders""",
     "prominence": "SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 255 WHEN p_type LIKE '%STEEL%' OR p_type LIKE '%TIN%' THEN 180 WHEN p_size > 25 THEN 140 ELSE 90 END AS prominence FROM part",
     "edit_distances": "SELECT n_name AS a, r_name AS b, CAST(levenshtein(n_name, r_name) AS INTEGER) AS edits FROM nation JOIN region ON n_regionkey = r_regionkey",
 }

@@ -86,7 +86,3 @@ def decayed_weights(sightings: DataFrame, half_life_s: float = 30 * 86400.0) ->
 
     return sightings.groupBy("key").applyInPandasWithState(step, "key string, weight double, at double", "weight double, last double", "update", GroupStateTimeout.NoTimeout)
 
-
-def newest_wins(requests: DataFrame) -> DataFrame:
-    """The newest of each worker's queued requests (worker, at, body)."""
-    return requests.groupBy("worker").agg(F.max_by("body", "at").alias("body"), F.max("at").alias("at"))
