@@ -63,12 +63,16 @@ def text_key(c: Column | str) -> Column:
     return F.xxhash64(whole(c))
 
 
-def _meet(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """docs joined with (_id, _key) rows by id (null equals null) and text, under fresh names."""
+def _meet(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str, distinct: bool = False) -> DataFrame:
+    """docs joined with (_id, _key) rows by id (null equals null) and text; distinct: once each."""
+    # Under other names while the join runs: the columns of docs may have any.
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
     same = F.col(names[id_col]).eqNullSafe(F.col("_id")) & (text_key(names[text_col]) == F.col("_key"))
-    # Of equal names in other case or clashing ones none is left while the join runs.
-    return docs.toDF(*names.values()).join(keys, same, how).toDF(*names)
+    out = rows.join(keys, same, how)
+    if distinct:
+        out = out.withColumn("_key", text_key(names[text_col])).dropDuplicates([names[id_col], "_key"]).drop("_key")
+    return out.toDF(*names)
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,14 +85,15 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs in which rows that agree in id and text stand once. Only such rows are shuffled whole."""
+    """docs in which rows that agree in id and text (null counts as empty) stand once. Only such rows
+    are shuffled whole."""
     keys = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"))
     keys = keep(keys.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
     n = keys.count()
     if n == 0:
         return docs
     keys = F.broadcast(keys) if n <= BROADCAST_IDS else keys
-    return _meet(docs, keys, id_col, text_col, "left_anti").unionAll(_meet(docs, keys, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return _meet(docs, keys, id_col, text_col, "left_anti").unionAll(_meet(docs, keys, id_col, text_col, "left_semi", distinct=True))
 
 
 def give_back() -> None:

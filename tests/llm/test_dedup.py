@@ -82,7 +82,7 @@ def test_merge_rounds_of_any_fan_in(spark):
 
 
 def test_repeated_rows_and_ids(spark):
-    rows = [(1, "same text"), (1, "same text"), (1, "same  text"), (1, "another"), (2, "same text"), (None, "no id"), (None, "no id"), (None, "n o id"), (None, None), (3, ""), (3, "")]
+    rows = [(1, "same text"), (1, "same text"), (1, "same  text"), (1, "another"), (2, "same text"), (None, "no id"), (None, "no id"), (None, "n o id"), (None, None), (3, ""), (3, ""), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1)).withColumn("_key", F.lit("x"))
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns
