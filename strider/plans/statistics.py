@@ -66,7 +66,7 @@ def composites(spark, d):
         F.round(stats.any_of(F.col("l_discount")), 10).alias("any_discount"),
         F.round(stats.saturated(F.sum(F.exp(-F.pow(F.col("l_quantity") / 40.0, F.lit(2)))), 0.7), 6).alias("amenity"),
         F.round(F.least(F.lit(1.0), F.sum(F.col("l_quantity") / 100.0)), 6).alias("cover"),
-        F.round(F.sum(F.when(F.col("l_discount") > 0, F.col("l_quantity") * F.col("l_discount"))) / F.sum(F.when(F.col("l_discount") > 0, F.col("l_quantity"))), 6).alias("depth"),
+        F.round(F.sum(F.when(F.col("l_discount") > 0, F.col("l_quantity") * F.col("l_discount"))) / F.sum(F.when(F.col("l_discount") > 0, F.col("l_quantity"))), 10).alias("depth"),
     )
 
 
@@ -139,7 +139,7 @@ SELECT user_id, arg_min(event_type, (-n, f)) AS mode, max(n) AS votes FROM c GRO
     FROM lineitem GROUP BY l_suppkey""",
     "composites": """SELECT l_orderkey, round(1 - exp(sum(ln(1 - l_discount))), 10) AS any_discount, round(1 - exp(-0.7 * sum(exp(-pow(l_quantity / 40.0, 2)))), 6) AS amenity,
     round(least(1.0, sum(l_quantity / 100.0)), 6) AS cover,
-    round(sum(CASE WHEN l_discount > 0 THEN l_quantity * l_discount END) / sum(CASE WHEN l_discount > 0 THEN l_quantity END), 6) AS depth
+    round(sum(CASE WHEN l_discount > 0 THEN l_quantity * l_discount END) / sum(CASE WHEN l_discount > 0 THEN l_quantity END), 10) AS depth
     FROM lineitem GROUP BY l_orderkey""",
     "top_kinds": """
 WITH t AS (SELECT p_type FROM part GROUP BY p_type ORDER BY count(*) DESC, p_type LIMIT 3)
