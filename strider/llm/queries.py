@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strider.llm import bpe, decontaminate, exact_dedup, line_dedup, lm_score, near_dedup, pii, secret_scan, toxicity, warc
+from strider.llm import bpe, decontaminate, exact_dedup, fill_middle, lexical_search, line_dedup, lm_score, mixing, near_dedup, pii, secret_scan, toxicity, warc
 from strider.llm.shared import table
 
 
@@ -62,6 +62,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(fill_middle.transform(table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total_percent=150, max_epochs=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -73,10 +85,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_fill_middle": fill_middle.SQL,
+    "op13_mixing": mixing.SQL,
 }
