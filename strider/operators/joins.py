@@ -41,9 +41,10 @@ def active_services(services: DataFrame, exceptions: DataFrame, days: DataFrame)
     """day, service: services (service, mask, first, last) that run on days (day).
 
     Bit 0 of the mask is Monday; exceptions (service, day, kind) add (1) or take (2) a day."""
-    runs = days.join(F.broadcast(services), F.col("day").between(F.col("first"), F.col("last")))
+    # A service's range as days, so that days meet it by equality.
+    runs = services.where("first <= last").withColumn("day", F.explode(F.sequence("first", "last")))
     bit = F.shiftright("mask", 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(7)]), F.weekday("day") + 1)) != 0
-    regular = runs.where(bit).select("day", "service")
+    regular = runs.where(bit).join(days.select("day").distinct(), "day", "left_semi").select("day", "service")
     named = days.join(exceptions, "day").select("day", "service", "kind")
     off = named.where("kind = 2")
     return regular.join(off, ["day", "service"], "left_anti").unionByName(named.where("kind = 1").select("day", "service")).distinct()

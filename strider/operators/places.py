@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strider.functions import geo
 from strider.functions import text as names
 from strider.operators import spatial
 
@@ -59,9 +60,10 @@ def owned_names(points: DataFrame, docs: DataFrame, reach: float) -> DataFrame:
 
 
 def area_or_nearest(points: DataFrame, areas: DataFrame, addresses: DataFrame, band: float, reach: float) -> DataFrame:
-    """id, area: the smallest polygon that holds a point, else the area of the nearest address
+    """id, area: the polygon of least area that holds a point (of equals the least id), else the area of the nearest address
     (rid, x, y, area) in reach, else null."""
-    inside = spatial.point_in_polygon(points, areas, band).groupBy("id").agg(F.min("poly").alias("inside"))
+    inside = spatial.point_in_polygon(points, areas, band).join(areas.select("poly", F.round(F.abs(geo.ring_area(F.col("ring"))), 6).alias("_area")), "poly")
+    inside = inside.groupBy("id").agg(F.min_by("poly", F.struct("_area", "poly")).alias("inside"))
     near = spatial.nearest(points.withColumnRenamed("id", "lid"), addresses, reach).join(addresses.select("rid", "area"), "rid").select(F.col("lid").alias("id"), F.col("area").alias("near"))
     return points.select("id").join(inside, "id", "left").join(near, "id", "left").select("id", F.coalesce("inside", "near").alias("area"))
 

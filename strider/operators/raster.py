@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tile_plan(spark, x0: int, x1: int, y0: int, y1: int, zoom: int) -> DataFrame:
-    """z, x, y of all tiles of a box at `zoom`, and of their parents up to zoom 0."""
-    base = spark.range(x0, x1 + 1).select(F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(y0).cast("long"), F.lit(y1).cast("long"))))
+def tile_plan(points: DataFrame, zoom: int) -> DataFrame:
+    """z, x, y of all tiles of the box around points (tx, ty: their tiles at `zoom`), and of their parents up to zoom 0."""
+    box = points.agg(*[f(c).cast("long").alias(f"{n}{c}") for c in ("tx", "ty") for n, f in (("a", F.min), ("b", F.max))]).where("atx IS NOT NULL")
+    base = box.withColumn("x", F.explode(F.sequence("atx", "btx"))).withColumn("y", F.explode(F.sequence("aty", "bty"))).select("x", "y")
     up = base.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(zoom))))
     return up.select("z", F.expr("shiftright(x, %d - z)" % zoom).alias("x"), F.expr("shiftright(y, %d - z)" % zoom).alias("y")).distinct()
 

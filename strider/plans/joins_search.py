@@ -48,11 +48,11 @@ def next_departures(spark, d):
 
 
 def running_services(spark, d):
-    """Suppliers as services, order days as exceptions."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("service"), (F.col("s_suppkey") * 37 % 128).cast("int").alias("mask"), F.expr("date_add(DATE'1995-01-01', int(s_suppkey % 30))").alias("first"), F.expr("date_add(DATE'1995-02-01', int(s_suppkey % 50))").alias("last"))
-    x = table(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01'").select((F.col("o_custkey") % 100 + 1).alias("service"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("kind")).groupBy("service", "day").agg(F.min("kind").alias("kind"))
-    days = spark.range(90).select(F.expr("date_add(DATE'1995-01-01', int(id))").alias("day"))
-    return joins.active_services(s, x, days)
+    """Suppliers as services from their first to their last shipment, orders as exceptions, all order days."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("service"), (F.col("s_suppkey") * 37 % 128).cast("int").alias("mask"))
+    ships = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("service")).agg(F.to_date(F.min("l_shipdate")).alias("first"), F.to_date(F.max("l_shipdate")).alias("last"))
+    x = table(spark, d, "orders").select((F.col("o_custkey") % 100 + 1).alias("service"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("kind")).groupBy("service", "day").agg(F.min("kind").alias("kind"))
+    return joins.active_services(s.join(ships, "service"), x, x.select("day").distinct())
 
 
 def segment_times(spark, d):
@@ -138,9 +138,9 @@ ORACLES = {
     "next_purchase": """SELECT e.event_id, CAST(floor(epoch((SELECT min(p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts >= e.ts))) AS BIGINT) AS next_s FROM events e WHERE e.event_type = 'click'""",
     "next_departures": """WITH b AS (SELECT p_partkey, p_partkey % 7 * 3600 AS s, p_partkey % 7 * 3600 + p_size * 200 AS e, p_partkey % 5 * 300 AS h FROM part)
 SELECT p_partkey, CAST(CASE WHEN 14000 <= s THEN s WHEN 14000 > e OR h <= 0 THEN NULL ELSE least(e, s + ceil((14000 - s) / h) * h) END AS BIGINT) AS next FROM b""",
-    "running_services": """WITH s AS (SELECT s_suppkey AS service, s_suppkey * 37 % 128 AS mask, DATE '1995-01-01' + CAST(s_suppkey % 30 AS INTEGER) AS f, DATE '1995-02-01' + CAST(s_suppkey % 50 AS INTEGER) AS l FROM supplier),
-x AS (SELECT o_custkey % 100 + 1 AS service, CAST(o_orderdate AS DATE) AS day, min(o_orderkey % 2 + 1) AS kind FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01' GROUP BY ALL),
-d AS (SELECT DATE '1995-01-01' + CAST(i AS INTEGER) AS day FROM range(90) t(i))
+    "running_services": """WITH s AS (SELECT s_suppkey AS service, s_suppkey * 37 % 128 AS mask, CAST(min(l_shipdate) AS DATE) AS f, CAST(max(l_shipdate) AS DATE) AS l FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey),
+x AS (SELECT o_custkey % 100 + 1 AS service, CAST(o_orderdate AS DATE) AS day, min(o_orderkey % 2 + 1) AS kind FROM orders GROUP BY ALL),
+d AS (SELECT DISTINCT day FROM x)
 SELECT day, service FROM d, s WHERE day BETWEEN f AND l AND (mask >> CAST(isodow(day) - 1 AS INTEGER)) & 1 = 1 AND NOT EXISTS (SELECT 1 FROM x WHERE x.service = s.service AND x.day = d.day AND kind = 2)
 UNION SELECT day, service FROM x WHERE kind = 1 AND day IN (SELECT day FROM d)""",
     "segment_times": """WITH l AS (SELECT l_orderkey AS trip, l_linenumber AS seq, arg_min(l_returnflag, (l_partkey, l_returnflag, l_suppkey % 12)) AS route, arg_min(l_suppkey % 12, (l_partkey, l_returnflag, l_suppkey % 12)) AS stop,

@@ -40,7 +40,7 @@ def waits(spark, d):
 
 def _snapshots(spark, d):
     """Customers with an order in a week as permits that the week's snapshot lists."""
-    o = table(spark, d, "orders").where("o_orderdate < '1997-01-01'")
+    o = table(spark, d, "orders")
     return o.select(F.date_trunc("week", F.col("o_orderdate").cast("timestamp")).cast("date").alias("day"), (F.col("o_custkey") % 120).alias("job")).distinct()
 
 
@@ -58,7 +58,7 @@ _EDGE = """e AS (SELECT p_partkey AS edge, p_retailprice AS m, p_partkey * 7 % 2
     p_partkey * 23 % 255 AS bridge, p_partkey * 29 % 255 AS highway, p_partkey * 31 % 255 AS industrial, p_partkey * 37 % 255 AS ascent, (p_partkey * 41 % 255) // 3 AS descent FROM part),
 w AS (SELECT * FROM (VALUES ('plain', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('scenic', 0.5, 0.4, 0.3, 0.1, 0.1, 0.1, 0.45, 1.0, 0.5), ('flat', 0.1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.2, 0.0, 4.0))
     t(lens, w1, w2, w3, w4, w5, w6, w7, w8, w9))"""
-_SNAP = "s AS (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS day, o_custkey % 120 AS job FROM orders WHERE o_orderdate < '1997-01-01')"
+_SNAP = "s AS (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS day, o_custkey % 120 AS job FROM orders)"
 _DAYS = _SNAP + """, c AS (SELECT day, count(*) AS n FROM s GROUP BY day),
 l AS (SELECT *, list_sort(list(n) OVER (ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) AS b FROM c), j AS (SELECT day, n, coalesce(n >= 0.75 * b[len(b) // 2 + 1], true) AS kept FROM l)"""
 ORACLES = {

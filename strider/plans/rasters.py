@@ -12,7 +12,9 @@ from strider.sources.tables import table
 
 
 def tile_plan(spark, d):
-    return raster.tile_plan(spark, 3, 21, 5, 18, 5).select(F.col("z").cast("int").alias("z"), "x", "y")
+    """The tiles around the embedding points, 50 m wide at zoom 10."""
+    tile = lambda c: (F.floor(F.col(c) / 50) + 512)
+    return raster.tile_plan(_points(spark, d).select(tile("x").alias("tx"), tile("y").alias("ty")), 10).select(F.col("z").cast("int").alias("z"), "x", "y")
 
 
 def stroke_lengths(spark, d):
@@ -81,7 +83,9 @@ QUERIES = {
 }
 
 ORACLES = {
-    "tile_plan": "SELECT DISTINCT CAST(z AS INTEGER) AS z, x >> CAST(5 - z AS INTEGER) AS x, y >> CAST(5 - z AS INTEGER) AS y FROM range(3, 22) a(x), range(5, 19) b(y), range(6) c(z)",
+    "tile_plan": """WITH t AS (SELECT floor(embedding[1]::DOUBLE * 1000 / 50)::BIGINT + 512 AS x, floor(embedding[2]::DOUBLE * 1000 / 50)::BIGINT + 512 AS y FROM embeddings),
+b AS (SELECT unnest(range(x0, x1 + 1)) AS x, y0, y1 FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM t)), c AS (SELECT x, unnest(range(y0, y1 + 1)) AS y FROM b)
+SELECT DISTINCT CAST(z AS INTEGER) AS z, x >> CAST(10 - z AS INTEGER) AS x, y >> CAST(10 - z AS INTEGER) AS y FROM c, range(11) r(z)""",
     "stroke_lengths": f"""WITH {_S}, n AS (SELECT *, sqrt(pow(bx - ax, 2) + pow("by" - ay, 2)) AS l FROM s), m AS (SELECT *, CAST(greatest(1, ceil(l / 2.0)) AS INTEGER) AS n FROM n),
 i AS (SELECT *, unnest(range(0, n)) AS i FROM m) SELECT CAST(floor((ax + (i + 0.5::DOUBLE) / n * (bx - ax)) / 25) AS BIGINT) AS x, CAST(floor((ay + (i + 0.5::DOUBLE) / n * ("by" - ay)) / 25) AS BIGINT) AS y, round(sum(l / n), 5) AS length FROM i GROUP BY 1, 2""",
     "polygon_fill": f"""WITH {_P}, g AS (SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y, (i + 0.5::DOUBLE) * 7 AS px, (j + 0.5::DOUBLE) * 7 AS py FROM range(-60, 61) a(i), range(-60, 61) b(j))

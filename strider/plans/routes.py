@@ -13,8 +13,8 @@ def snap_pairs(spark, d):
     """Trips between embedding points over streets in five components."""
     points = _points(spark, d, "id")
     found = routes.snap_candidates(points, _streets(spark, d).withColumn("component", F.col("seg") % 5), 60.0)
-    n = F.lit(500)
-    trips = points.select(F.col("id").alias("trip"), F.col("id").alias("start"), ((F.col("id") * 7 + 3) % n).alias("dest"))
+    n = points.agg(F.count(F.lit(1)).alias("n"))
+    trips = points.crossJoin(F.broadcast(n)).select(F.col("id").alias("trip"), F.col("id").alias("start"), ((F.col("id") * 7 + 3) % F.col("n")).alias("dest"))
     return routes.snap_pairs(trips, found).select("trip", "start_seg", "dest_seg", F.round("total", 4).alias("total"))
 
 
@@ -61,7 +61,7 @@ def corner_fans(spark, d):
 
 def chains(spark, d):
     """Order lines as edges between consecutive parts; runs through parts of degree two are one."""
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b"), "l_linenumber", F.col("l_returnflag").alias("key")).where("l_linenumber <= 2")  # noqa: E741
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b"), "l_linenumber", F.col("l_returnflag").alias("key"))  # noqa: E741
     e = l.groupBy("a", "b").agg(F.min("key").alias("key")).withColumn("edge", F.col("a") * 100_000_000 + F.col("b")).withColumn("w", F.lit(1.0))
     return graph.chains(e).groupBy("chain").agg(F.count(F.lit(1)).alias("edges"), F.max("edge").alias("last"))
 
@@ -100,7 +100,7 @@ ORACLES = {
 d AS (SELECT id, seg, seg % 5 AS component, sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * ("by" - ay)), 2)) AS dist FROM t),
 c AS (SELECT id, component, arg_min(seg, (dist, seg)) AS seg, min(dist) AS dist FROM d WHERE dist <= 60 GROUP BY ALL)
 SELECT a.id AS trip, arg_min(a.seg, (a.dist + b.dist, a.component)) AS start_seg, arg_min(b.seg, (a.dist + b.dist, a.component)) AS dest_seg, round(min(a.dist + b.dist), 4) AS total
-FROM c a JOIN c b ON b.id = (a.id * 7 + 3) % 500 AND a.component = b.component GROUP BY a.id""",
+FROM c a JOIN c b ON b.id = (a.id * 7 + 3) % (SELECT count(*) FROM embeddings) AND a.component = b.component GROUP BY a.id""",
     "route_paths": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS dist UNION SELECT bw.b, r.dist + bw.w FROM r JOIN bw ON bw.a = r.node WHERE r.dist + bw.w <= 12),
 m AS (SELECT node, min(dist) AS dist FROM r GROUP BY node), p AS (SELECT m.node, min(bw.a) AS parent FROM m JOIN bw ON bw.b = m.node JOIN m f ON f.node = bw.a AND f.dist + bw.w = m.dist WHERE m.node <> 1 GROUP BY m.node),
 w AS (SELECT node AS goal, node, 0 AS back FROM m UNION ALL SELECT goal, parent, back + 1 FROM w JOIN p ON p.node = w.node) SELECT goal, CAST(max(back) AS BIGINT) AS hops, arg_max(node, back) AS seed FROM w GROUP BY goal""",
@@ -117,7 +117,7 @@ b AS (SELECT line, seq, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x)
 t AS (SELECT line, seq, CASE WHEN dx <> 0 OR dy <> 0 THEN atan2(dx, dy) END AS t FROM b)
 SELECT line, seq, round(t, 8) AS bearing, ['N', 'E', 'S', 'W'][CAST(least(3, floor((t - pi() / 4 + 2 * pi() - 2 * pi() * floor((t - pi() / 4 + 2 * pi()) / (2 * pi()))) / (pi() / 2))) AS INTEGER) + 1] AS side FROM t""",
     "corner_fans": f"""WITH {_EDGES} SELECT a AS node, b AS edge, coalesce(lead(b) OVER w, first_value(b) OVER w) AS next_edge FROM ed WINDOW w AS (PARTITION BY a ORDER BY b * 37 % 360, b)""",
-    "edge_chains": """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 10000000 AS b, min(l_returnflag) AS key, l_orderkey * 100000000 + l_partkey + 10000000 AS edge FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+    "edge_chains": """WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 10000000 AS b, min(l_returnflag) AS key, l_orderkey * 100000000 + l_partkey + 10000000 AS edge FROM lineitem GROUP BY ALL),
 n AS (SELECT a AS node, edge, key FROM e UNION ALL SELECT b, edge, key FROM e), t AS (SELECT min(edge) AS a, max(edge) AS b FROM n GROUP BY node HAVING count(*) = 2 AND count(DISTINCT key) = 1 AND min(edge) <> max(edge)),
 w AS (SELECT a, b FROM t UNION ALL SELECT b, a FROM t), r AS (SELECT a AS edge, a AS top FROM w UNION SELECT w.b, r.top FROM r JOIN w ON w.a = r.edge), m AS (SELECT edge, min(top) AS top FROM r GROUP BY edge)
 SELECT coalesce(m.top, e.edge) AS chain, count(*) AS edges, max(e.edge) AS last FROM e LEFT JOIN m USING (edge) GROUP BY 1""",

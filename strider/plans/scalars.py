@@ -40,9 +40,9 @@ def height_merge(spark, d):
 
 
 def median_fill(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).otherwise(0).alias("dbh"))
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_size") * 2).otherwise(0).alias("dbh"))
     middle = p.where("dbh > 0").agg(F.percentile("dbh", F.lit(0.5)).alias("middle"))
-    return p.join(F.broadcast(middle), F.lit(True), "cross").select("p_partkey", F.when(F.col("dbh") <= 0, F.col("middle")).when(F.col("dbh") > 40, 40.0).otherwise(F.col("dbh").cast("double")).alias("dbh"))
+    return p.join(F.broadcast(middle), F.lit(True), "cross").select("p_partkey", F.when(F.col("dbh") <= 0, F.col("middle")).when(F.col("dbh") > 60, 60.0).otherwise(F.col("dbh").cast("double")).alias("dbh"))
 
 
 def json_fields(spark, d):
@@ -146,8 +146,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, f & 7 AS kind, (f >> 3) & 1 AS side,
 WITH m AS (SELECT l_partkey, max(l_quantity) AS measured FROM lineitem GROUP BY 1)
 SELECT p_partkey, CASE WHEN measured IS NULL OR measured < p_size * 0.5 THEN CAST(p_size AS DOUBLE) ELSE measured END AS height FROM part LEFT JOIN m ON l_partkey = p_partkey""",
     "median_fill": """
-WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_size ELSE 0 END AS dbh FROM part), m AS (SELECT median(dbh) AS middle FROM p WHERE dbh > 0)
-SELECT p_partkey, CASE WHEN dbh <= 0 THEN middle WHEN dbh > 40 THEN 40.0 ELSE CAST(dbh AS DOUBLE) END AS dbh FROM p, m""",
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_size * 2 ELSE 0 END AS dbh FROM part), m AS (SELECT median(dbh) AS middle FROM p WHERE dbh > 0)
+SELECT p_partkey, CASE WHEN dbh <= 0 THEN middle WHEN dbh > 60 THEN 60.0 ELSE CAST(dbh AS DOUBLE) END AS dbh FROM p, m""",
     "json_fields": "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k, props->>'k' AS raw FROM events WHERE CAST(props->>'k' AS INTEGER) >= 50",
     "rounding": """SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_quantity / 4 - 5 + 0.5) AS BIGINT) AS half_up,
     CAST(least(254, greatest(0, floor(l_quantity / 50 * 254 + 0.5))) AS INTEGER) AS byte FROM lineitem""",

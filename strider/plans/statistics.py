@@ -9,7 +9,7 @@ from strider.operators import stats
 from strider.sources.tables import table
 
 #: The fronting rule, with a gate that the stand-in columns reach.
-MIN_LOTS, GATE_SHARE, GATE_HEIGHT = 4, 0.3, 30
+MIN_LOTS, GATE_SHARE, GATE_HEIGHT = 4, 0.5, 25
 
 
 def fronting_signals(spark, d):
@@ -121,7 +121,7 @@ WITH lots AS (SELECT p_brand AS block, p_size AS height, l_returnflag, 1 << CAST
     FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 s AS (SELECT block, count(*) AS lots, round(CASE WHEN count(*) >= 4 THEN count(*) FILTER (WHERE l_returnflag <> 'N') / count(*) ELSE 0 END, 6) AS share,
     list_sort(list(height))[count(*) // 2 + 1] AS height, CAST(bit_or(flag) AS INTEGER) AS flags FROM lots GROUP BY block)
-SELECT * FROM s WHERE share >= 0.3 AND height <= 30 AND (flags & 6) <> 0 ORDER BY share DESC, block LIMIT 20""",
+SELECT * FROM s WHERE share >= 0.5 AND height <= 25 AND (flags & 6) <> 0 ORDER BY share DESC, block LIMIT 20""",
     "medians": """SELECT l_suppkey, median(l_quantity) AS mean_median, CAST(floor(median(l_quantity) + 0.5) AS BIGINT) AS rounded_median,
     list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey""",
     "quantiles": """SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.9) AS p90, quantile_disc(o_totalprice, 0.99) AS p99,

@@ -17,10 +17,11 @@ def service_days(spark, d):
 
 
 def fallback_services(spark, d):
-    """Days after the first quarter of 1995 take the services of most of their last six weekdays."""
+    """The month after the last order takes the services of most of its last six weekdays."""
     o = table(spark, d, "orders")
-    runs = o.where("o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01'").select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 40).alias("service")).distinct()
-    days = spark.range(120).select(F.expr("date_add(DATE'1995-01-01', int(id))").alias("day"))
+    runs = o.select(F.to_date("o_orderdate").alias("day"), (F.col("o_custkey") % 40).alias("service")).distinct()
+    end = runs.agg(F.max("day").alias("end"))
+    days = runs.select("day").distinct().unionByName(end.select(F.explode(F.sequence(F.date_add("end", 1), F.date_add("end", 30))).alias("day")))
     return transit.majority_services(runs, days)
 
 
@@ -79,8 +80,8 @@ _LOCAL = """loc AS (SELECT event_id, ts + INTERVAL 1 HOUR * (CASE WHEN ts >= mak
     FROM (SELECT event_id, ts, year(ts) AS y FROM events))"""
 ORACLES = {
     "service_days": f"""WITH {_LOCAL} SELECT event_id, CAST(t AS DATE) + CAST(i AS INTEGER) AS day, CAST(hour(t) * 3600 + minute(t) * 60 + second(t) - i * 86400 AS BIGINT) AS seconds FROM loc, (VALUES (-1), (0), (1)) v(i)""",
-    "fallback_services": """WITH r AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_custkey % 40 AS service FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1995-04-01'),
-m AS (SELECT max(day) AS e FROM r), d AS (SELECT DATE '1995-01-01' + CAST(i AS INTEGER) AS day FROM range(120) t(i)),
+    "fallback_services": """WITH r AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_custkey % 40 AS service FROM orders),
+m AS (SELECT max(day) AS e FROM r), d AS (SELECT DISTINCT day FROM r UNION ALL SELECT e + CAST(i AS INTEGER) AS day FROM m, range(1, 31) t(i)),
 p AS (SELECT day, k, (SELECT max(x) FROM (SELECT e - CAST(j AS INTEGER) AS x FROM m, range(7) u(j)) WHERE isodow(x) = isodow(day)) - CAST(7 * k AS INTEGER) AS past FROM d, m, range(6) t(k) WHERE day > e),
 v AS (SELECT p.day, service, count(*) AS n, min(k) AS k FROM p JOIN r ON r.day = p.past GROUP BY ALL)
 SELECT r.day, service FROM r WHERE day IN (SELECT day FROM d) UNION ALL SELECT day, service FROM v WHERE n > 3 OR (n = 3 AND k = 0)""",
