@@ -32,8 +32,11 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(day), "file")
 
 
-def read_gtfs_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """feed and row (a map) of one table of zipped feeds, wherever in the zip it lies."""
+def read_gtfs_table(spark: SparkSession, path: str, table: str, keep: dict[str, set[str]] | None = None) -> DataFrame:
+    """feed and row (a map) of one table of zipped feeds, wherever in the zip it lies.
+
+    keep (column: values) is tested on each line as it is read: other lines become no rows, as when only the stop
+    times of some trips are wanted out of a feed's largest table. The values go to all tasks, so they should be few."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
@@ -45,6 +48,8 @@ def read_gtfs_table(spark: SparkSession, path: str, table: str) -> DataFrame:
                     lines = csv.DictReader(io.TextIOWrapper(z.open(member), "utf-8-sig", newline=""))
                     rows = []
                     for r in lines:
+                        if any((r.get(c) or "").strip() not in values for c, values in (keep or {}).items()):
+                            continue
                         rows.append((name.rsplit("/", 1)[-1], {k.strip(): v.strip() for k, v in r.items() if k and v is not None}))
                         if len(rows) == 10_000:
                             yield pd.DataFrame(rows, columns=["feed", "row"])
@@ -54,6 +59,25 @@ def read_gtfs_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "feed string, row map<string,string>")
 
 
+def read_box(spark: SparkSession, path: str, columns: tuple[str, str], box: tuple[float, float, float, float]) -> DataFrame:
+    """Rows of parquet files inside a box (least x, least y, greatest x, greatest y; bounds excluded), by two plain columns.
+
+    The bounds are comparisons with constants, so they reach the scan: row groups whose statistics lie outside are not
+    read. Files sorted by place (hilbert order, say) leave few that are."""
+    x, y = (F.col(c) for c in columns)
+    return spark.read.parquet(path).where((x > box[0]) & (y > box[1]) & (x < box[2]) & (y < box[3]))
+
+
+def read_places(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; a line that is no JSON of the schema ends the job, as no place may be lost unseen."""
+    return spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+
+
+def write_places(df: DataFrame, path: str, order: list[str]) -> None:
+    """JSON lines, sorted within each file; absent values have no key."""
+    df.sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """id, properties, ring: the outer rings of newline-separated GeoJSON polygons and multipolygons."""
     ddl = "id string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
