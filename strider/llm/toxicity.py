@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 Fit, on at most MAX_EXAMPLES labelled rows (a documented bound; rows are taken by a hash of
-their id): every word of two examples or more is a term, and so are the 4- and 5-letter stems
-that chi-square ties to the label. Examples, toxic and clean ones alike, become unit vectors of
+their id): every word of two examples or more is a term, and so are the stems of 2 to 6 letters
+that chi-square ties to the label (inflected languages say little by whole words). Examples, toxic and clean ones alike, become unit vectors of
 (1 + log count) x IDF x relevance. Document frequencies are those of all documents. Relevance is
 the term's phi coefficient with the label (RELEVANCE at least): without it the many rare words of
 a text drown the few that matter, and neighbours share a topic instead of a tone. Terms of more
@@ -34,10 +34,11 @@ MAX_EXAMPLES = 16_000
 CALIBRATION = 4_000
 MIN_STEM_DOCS, MIN_CHI2 = 5, 15.0
 #: The least relevance of a term; the share of examples that makes a stop word of a term whose
-#: relevance is under STOP_RELEVANCE (the usual bound of a small effect).
-RELEVANCE, STOP, STOP_LEAST, STOP_RELEVANCE = 0.01, 0.01, 50, 0.1
+#: relevance is under STOP_RELEVANCE (a label that one language in ten holds gives its words half of the
+#: usual bound of a small effect, 0.1).
+RELEVANCE, STOP, STOP_LEAST, STOP_RELEVANCE = 0.003, 0.01, 50, 0.05
 BLOCK, FIRST_BLOCKS, NEIGHBOURS, PRIOR_WEIGHT = 64, 4, 15, 0.01
-STEMS = (4, 5)
+STEMS = (2, 3, 4, 5, 6)
 THRESHOLD = 0.7
 _WORD = regex.compile(r"\p{L}+").findall
 
@@ -181,7 +182,7 @@ class _Terms:
         seen, number = Counter(_WORD((text or "").lower())), self.number
         out = {number[w]: k for w, k in seen.items() if w in number}
         for n, stems in self.stems:
-            for w in [w for w in seen if w[:n] in stems and len(w) > n]:
+            for w in [w for w in seen if w[:n] in stems and len(w) > n] if stems else ():
                 i = stems[w[:n]]
                 out[i] = out.get(i, 0) + seen[w]
         terms, counts = np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.int64, len(out))
