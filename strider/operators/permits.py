@@ -39,3 +39,33 @@ def standing(runs: DataFrame, day: str, seen: str) -> DataFrame:
     rows = shut.withColumn("_far", F.datediff("f", reach) > MERGE_DAYS)
     out = windows.islands(rows, ["job"], ["f"], F.col("_far")).groupBy("job", "island").agg(F.min("f").alias("first"), F.max("l").alias("last")).drop("island")
     return out.where(F.lit(day).cast("date").between(F.col("first"), F.col("last")))
+
+
+ADDRESS = ["bin", "house", "street", "first_permit"]
+
+
+def recovered(garbled: DataFrame, listed: DataFrame, records: DataFrame) -> DataFrame:
+    """row, day, job: garbled rows (row, day, bin, house, street, first_permit), whose job number is lost, that are the one
+    permit (of records: job and the same address) at their address that the day does not list (listed: day, job).
+
+    Of several rows of one address the first (by row) takes it; addresses with no or several such permits recover nothing.
+    Nulls in an address match each other."""
+    same = F.lit(True)
+    for c in ADDRESS:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    sought = garbled.groupBy("day", *ADDRESS).agg(F.min("row").alias("row"))
+    found = sought.join(records.select("job", *[F.col(c).alias(f"_{c}") for c in ADDRESS]), same)
+    found = found.join(listed.select("day", "job").distinct(), ["day", "job"], "left_anti")
+    return found.groupBy("row", "day").agg(F.min("job").alias("job"), F.count(F.lit(1)).alias("n")).where("n = 1").select("row", "day", "job")
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """job, day of the snapshots rows (job, day, bin, street, bbl, lat, lng, feet) at which what a placement rests on differs
+    from the row before; a job's first row counts as moved. A blank bbl keeps the last one that was stated."""
+    w = Window.partitionBy("job").orderBy("day")
+    inputs = ["bin", "street", "bbl", "lat", "lng", "feet"]
+    stated = rows.withColumn("bbl", F.last(F.nullif("bbl", F.lit("")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.lag("day").over(w).isNull()
+    for c in inputs:
+        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    return stated.withColumn("_moved", changed).where("_moved").select("job", "day")

@@ -85,7 +85,8 @@ class KeyedReader(DataSourceReader):
 
 class KeyedSource(DataSource):
     """spark.read.format("keyed").option("path", folder).load().where(col("id").isin(keys)): a file of rows for each key,
-    a stand-in for a service that answers `field in (...)`. Keys without a file have no rows."""
+    a stand-in for a service that answers `field in (...)`. Keys without a file have no rows. Load anew for each lookup:
+    Spark plans the scan of a loaded frame once, with the ids of its first filter."""
 
     @classmethod
     def name(cls) -> str:

@@ -41,12 +41,12 @@ def test_terms_are_those_of_the_pattern():
         assert [w.decode() for w in search.terms(text)] == words(text)
 
 
-@pytest.mark.parametrize("shard_postings,block_bytes", [(1 << 21, 4 << 20), (300, 500)])
+@pytest.mark.parametrize("shard_postings,block_bytes", [(1 << 21, 4 << 20), (3000, 1500)])
 def test_whole_tables_like_brute_force(spark, documents, shard_postings, block_bytes):
     """Small shards and blocks give the same ranks as one of each."""
     queries = spark.read.parquet(f"{SF}/benchmark.parquet").limit(12)
     index = search.build_index(documents, shard_postings=shard_postings)
-    assert index.shards.count() > (1 if shard_postings == 300 else 0)
+    assert index.shards.count() > (1 if shard_postings == 3000 else 0)
     want = brute([(r.doc_id, r.text) for r in documents.collect()], [(r.item_id, r.text) for r in queries.collect()])
     assert rows(search.search(index, queries, block_bytes=block_bytes)) == want
 
