@@ -13,6 +13,9 @@ from strider.operators.stored import stored
 
 #: Rings that ground is carried at most; metres between probes of a line, and of a shade cell.
 RINGS, PROBE, SHADE_CELL = 64, 5.0, 5.0
+#: Bands of declination between its extremes (degrees), the elevation from which there is a sun, and the least
+#: share of its cover that a shed keeps when the sun comes in from the side.
+BANDS, MOST_DECLINATION, HORIZON, OBLIQUE = 6, 23.44, 0.5, 0.15
 #: Places of the sun that one call takes: they go to every task.
 MOST_SUNS = 10_000
 
@@ -108,3 +111,46 @@ def line_shade(vertices: DataFrame, casters: DataFrame, suns: DataFrame, longest
     shaded = probes.join(dark, ["cx", "cy"]).groupBy("line", "bin").agg(F.sum("k").alias("shaded"))
     share = F.floor(F.col("shaded") / F.col("n") * 255 + 0.5).cast("int")
     return shaded.join(total, "line").select("line", "bin", share.alias("shade")).where("shade > 0")
+
+
+def season_band(declination: Column) -> Column:
+    """0 for the lowest suns to BANDS - 1 for the highest."""
+    share = (declination + MOST_DECLINATION) / (2 * MOST_DECLINATION)
+    return F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor(share * BANDS))).cast("int")
+
+
+def blends(instants: DataFrame, bins: DataFrame) -> DataFrame:
+    """id, nearest, second, w1, w2 for the instants (id, elevation, declination, hour) with a sun: the two bins (bin, season, hour)
+    of the instant's season, or of all if it has none, whose hours are nearest (of equals the smaller bin), weighted by
+    closeness to the other. A lone bin, or one at the very hour of both, has all the weight.
+
+    The bins are a small table: they travel as one list, so no instant is multiplied."""
+    if bins.count() > MOST_SUNS:
+        raise ValueError(f"more than {MOST_SUNS} bins")
+    listed = F.broadcast(bins.agg(F.collect_list(F.struct("season", "hour", "bin")).alias("bins")))
+    i = instants.where(F.col("elevation") > HORIZON).withColumn("season", season_band(F.col("declination")))
+    i = i.join(listed, F.lit(True), "cross").where(F.size("bins") > 0)
+    own = F.filter("bins", lambda b: b["season"] == F.col("season"))
+    i = i.withColumn("bins", F.when(F.size(own) > 0, own).otherwise(F.col("bins")))
+    near = F.array_sort(F.transform("bins", lambda b: F.struct(F.abs(b["hour"] - F.col("hour")).alias("off"), b["bin"].alias("bin"))))
+    i = i.select("id", F.get(near, F.lit(0)).alias("p"), F.get(near, F.lit(1)).alias("q"))
+    total = F.col("p.off") + F.col("q.off")
+    alone = F.col("q").isNull() | (total == 0)
+    second = F.when(alone, F.col("p.bin")).otherwise(F.col("q.bin"))
+    w1 = F.when(alone, 1.0).otherwise(F.col("q.off") / total)
+    return i.select("id", F.col("p.bin").alias("nearest"), second.alias("second"), w1.alias("w1"), F.when(alone, 0.0).otherwise(F.col("p.off") / total).alias("w2"))
+
+
+def blended(asked: DataFrame, mixes: DataFrame, shades: DataFrame) -> DataFrame:
+    """id, line, shade (0 to 255) of what is asked (id, line): the line's shade in the two bins of the id's mix; a bin without
+    a row is no shade, an id without a mix (no sun) gives no row."""
+    each = F.explode(F.array(F.struct(F.col("nearest").alias("bin"), F.col("w1").alias("w")), F.struct(F.col("second").alias("bin"), F.col("w2").alias("w"))))
+    a = asked.select("id", "line").join(mixes.select("id", each.alias("m")), "id").select("id", "line", "m.bin", "m.w")
+    return a.join(shades, ["line", "bin"], "left").groupBy("id", "line").agg(F.sum(F.col("w") * F.coalesce("shade", F.lit(0))).alias("shade"))
+
+
+def shed_shade(covered: Column, across: Column, sun_azimuth: Column, bearing: Column, depth: Column) -> Column:
+    """The share of a line that a shed shades (angles in radians): its cover, less what the sun lights from the side, where the roof
+    seems moved `across` metres for a sun square to the line, of `depth` metres; never under OBLIQUE of the cover."""
+    side = across * F.abs(F.sin(sun_azimuth - bearing)) / depth
+    return F.when(covered > 0, covered * F.greatest(F.lit(OBLIQUE), 1 - side)).otherwise(0.0)

@@ -42,7 +42,52 @@ def shaded_lines(spark, d):
     return shade.line_shade(drawn.streets(spark, d).select("line", "i", "x", "y"), buildings(spark, d), suns(spark, d), LONGEST)
 
 
-QUERIES = {"surface_heights": surface_heights, "shaded_lines": shaded_lines}
+def instants(spark, d):
+    """id, line, elevation, declination, hour, east, north: an order is a walk along its customer's street."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("line"), F.dayofyear("o_orderdate").alias("day"), (F.floor(F.col("o_totalprice") * 100) % 1440 / 4 - 180).alias("hour"))
+    o = o.withColumn("declination", shade.MOST_DECLINATION * F.sin(F.radians((F.col("day") - 81) * 360 / 365)))
+    up, east, north = shade.sun(F.lit(LATITUDE), F.col("declination"), F.col("hour"))
+    return o.select("id", "line", "hour", "declination", up.alias("elevation"), east.alias("east"), north.alias("north"))
+
+
+def bins(spark, d):
+    n = table(spark, d, "nation").join(suns(spark, d), F.col("n_nationkey") == F.col("bin"))
+    return n.select("bin", shade.season_band(F.col("n_regionkey") * 11.72 - 23.44).alias("season"), (F.col("n_nationkey") * 6.5 - 78).alias("hour"))
+
+
+def shade_blends(spark, d):
+    return shade.blends(instants(spark, d), bins(spark, d)).select("id", "nearest", "second", F.round("w1", 9).alias("w1"), F.round("w2", 9).alias("w2"))
+
+
+def walk_shades(spark, d):
+    i = instants(spark, d)
+    return shade.blended(i, shade.blends(i, bins(spark, d)), shaded_lines(spark, d)).select("id", "line", F.round("shade", 6).alias("shade"))
+
+
+def shed_shades(spark, d):
+    """A shed of 2 to 8 m along each customer's street, with its deck 4 m above."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("line"), (F.col("c_nationkey") % 6 / 5).alias("covered"), F.radians(F.abs("c_acctbal") % 180).alias("bearing"), (2 + F.col("c_custkey") % 7).alias("depth"))
+    i = instants(spark, d).join(c, "line")
+    across = 4.0 / F.tan(F.radians(F.greatest(F.col("elevation"), F.lit(3.0))))
+    out = shade.shed_shade(F.col("covered"), across, F.atan2(-F.col("east"), -F.col("north")), F.col("bearing"), F.col("depth"))
+    return i.select("id", F.round(out, 6).alias("shade"))
+
+
+QUERIES = {"surface_heights": surface_heights, "shaded_lines": shaded_lines, "shade_blends": shade_blends, "walk_shades": walk_shades, "shed_shades": shed_shades}
+
+_INSTANTS = """o AS (SELECT o_orderkey AS id, o_custkey AS line, floor(o_totalprice * 100)::BIGINT % 1440 / 4 - 180 AS hour, 23.44e0 * sin(radians((dayofyear(o_orderdate) - 81) * 360e0 / 365)) AS decl FROM orders),
+oa AS (SELECT *, radians(decl) AS de, radians(hour) AS ho, radians(40.7e0) AS la FROM o),
+ot AS (SELECT id, line, hour, decl, degrees(asin(sin(la) * sin(de) + cos(la) * cos(de) * cos(ho))) AS up, -cos(de) * sin(ho) AS e, cos(la) * sin(de) - sin(la) * cos(de) * cos(ho) AS n FROM oa)"""
+
+_BLENDS = f"""{_INSTANTS},
+bn AS (SELECT n_nationkey AS bin, n_nationkey * 6.5e0 - 78 AS hour, n_regionkey * 11.72e0 - 23.44e0 AS decl FROM nation),
+bs AS (SELECT bin, hour, least(5, greatest(0, floor((decl + 23.44e0) / 46.88e0 * 6)))::INTEGER AS season FROM bn
+    WHERE degrees(asin(sin(radians(40.7e0)) * sin(radians(decl)) + cos(radians(40.7e0)) * cos(radians(decl)) * cos(radians(hour)))) > 0.5),
+os AS (SELECT *, least(5, greatest(0, floor((decl + 23.44e0) / 46.88e0 * 6)))::INTEGER AS season FROM ot WHERE up > 0.5),
+cd AS (SELECT os.id, os.line, bs.bin, abs(bs.hour - os.hour) AS gap FROM os JOIN bs ON os.season = bs.season OR os.season NOT IN (SELECT season FROM bs)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, bin) AS r FROM cd),
+pq AS (SELECT id, line, max(CASE r WHEN 1 THEN bin END) AS p, max(CASE r WHEN 2 THEN bin END) AS q, max(CASE r WHEN 1 THEN gap END) AS dp, max(CASE r WHEN 2 THEN gap END) AS dq FROM rk WHERE r < 3 GROUP BY ALL),
+mx AS (SELECT id, line, p AS nearest, CASE WHEN q IS NULL OR dp + dq = 0 THEN p ELSE q END AS second, CASE WHEN q IS NULL OR dp + dq = 0 THEN 1 ELSE dq / (dp + dq) END AS w1, CASE WHEN q IS NULL OR dp + dq = 0 THEN 0 ELSE dp / (dp + dq) END AS w2 FROM pq)"""
 
 ORACLES = {
     # The nearest known cell by all that lie in the nine blocks of 64 cells around.
@@ -75,3 +120,8 @@ dk AS (SELECT DISTINCT * FROM (SELECT cx, cy, bin FROM sw UNION ALL SELECT cx, c
 tt AS (SELECT line, sum(k) AS n FROM pr GROUP BY line)
 SELECT line, bin, floor(sum(k)::DOUBLE / any_value(tt.n) * 255 + 0.5)::INTEGER AS shade FROM pr JOIN dk USING (cx, cy) JOIN tt USING (line) GROUP BY line, bin HAVING shade > 0""",
 }
+ORACLES["shade_blends"] = f"WITH {_BLENDS} SELECT id, nearest, second, round(w1, 9) AS w1, round(w2, 9) AS w2 FROM mx"
+ORACLES["walk_shades"] = f"""WITH {_BLENDS}, sl AS ({ORACLES["shaded_lines"]})
+SELECT mx.id, mx.line, round(w1 * coalesce(a.shade, 0) + w2 * coalesce(b.shade, 0), 6) AS shade FROM mx LEFT JOIN sl a ON a.line = mx.line AND a.bin = nearest LEFT JOIN sl b ON b.line = mx.line AND b.bin = second"""
+ORACLES["shed_shades"] = f"""WITH {_INSTANTS}, c AS (SELECT c_custkey AS line, (c_nationkey % 6) / 5 AS covered, radians(abs(c_acctbal) % 180) AS bearing, 2 + c_custkey % 7 AS depth FROM customer)
+SELECT id, round(CASE WHEN covered > 0 THEN covered * greatest(0.15e0, 1 - 4 / tan(radians(greatest(up, 3))) * abs(sin(atan2(e, n) - bearing)) / depth) ELSE 0 END, 6) AS shade FROM ot JOIN c USING (line)"""
