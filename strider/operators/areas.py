@@ -1,11 +1,12 @@
-"""Polygons that meet polygons: their edges meet on grid cells, what lies inside by a point of it."""
+"""Polygons that meet polygons, and their unions: edges meet on grid cells, what lies inside by a point of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strider.operators.spatial import point_in_polygon, polygon_edges
+from strider.operators.stored import stored
 
 
 def _turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
@@ -41,3 +42,54 @@ def intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     inside = point_in_polygon(corner(left), right, cell).select(F.col("id").alias("a"), F.col("poly").alias("b"))
     around = point_in_polygon(corner(right), left, cell).select(F.col("poly").alias("a"), F.col("id").alias("b"))
     return crossed.unionByName(inside).unionByName(around).distinct()
+
+
+def union_outline(polygons: DataFrame, cell: float) -> DataFrame:
+    """grp, poly, x1, y1, x2, y2: the outline of the union of each group's polygons (grp, poly, ring: simple, either way round), as
+    directed pieces with the union on their left, each with the polygon it comes from.
+
+    Edges are cut where they meet edges of other polygons of the group (met on grid cells); a piece stays unless its middle
+    lies inside another. Of pieces that coincide (to a millionth) one stays if they run the same way, none if they run
+    against each other, as there is area on both sides."""
+    ring = polygons.select("grp", "poly", "ring")
+    e = polygon_edges(ring).join(ring.select("grp", "poly"), "poly").where("x1 <> x2 OR y1 <> y2")
+    turn = e.groupBy("poly").agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("turn"))
+    e = e.join(turn.where("turn <> 0"), "poly")
+    flip = lambda a, b: F.when(F.col("turn") > 0, F.col(a)).otherwise(F.col(b))
+    e = stored(e.select("grp", "poly", flip("x1", "x2").alias("x1"), flip("y1", "y2").alias("y1"), flip("x2", "x1").alias("x2"), flip("y2", "y1").alias("y2")))
+    edge = ["grp", "poly", "x1", "y1", "x2", "y2"]
+
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell)))
+    c = e.withColumn("_cx", cells("x1", "x2")).withColumn("_cy", cells("y1", "y2"))
+    o = c.select("grp", "_cx", "_cy", F.col("poly").alias("other"), *[F.col(k).alias(f"o{k}") for k in ("x1", "y1", "x2", "y2")])
+    own, theirs = [F.col(k) for k in edge[2:]], [F.col(f"o{k}") for k in edge[2:]]
+    met = c.join(o, ["grp", "_cx", "_cy"]).where((F.col("poly") != F.col("other")) & segments_meet(own, theirs))
+    dx, dy, ox, oy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
+    det = dx * oy - dy * ox
+    at = lambda x, y: ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy)
+    cut = F.when(det != 0, F.array(((F.col("ox1") - F.col("x1")) * oy - (F.col("oy1") - F.col("y1")) * ox) / det)).otherwise(F.array(at(F.col("ox1"), F.col("oy1")), at(F.col("ox2"), F.col("oy2"))))
+    cuts = met.select(*edge, F.explode(cut).alias("t")).where("t > 0 AND t < 1")
+    cuts = cuts.unionByName(e.withColumn("t", F.explode(F.array(F.lit(0.0), F.lit(1.0))))).distinct()
+    p = cuts.withColumn("u", F.lead("t").over(Window.partitionBy(*edge).orderBy("t"))).where("u IS NOT NULL")
+    on = lambda t: ((F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1"))), (F.col("y1") + F.col(t) * (F.col("y2") - F.col("y1"))))
+    (ax, ay), (bx, by) = on("t"), on("u")
+    p = p.select("grp", "poly", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    a, b = (F.struct(F.round(f"{n}x", 6).alias("x"), F.round(f"{n}y", 6).alias("y")) for n in "ab")
+    p = stored(p.withColumn("a", a).withColumn("b", b).where("a <> b").withColumn("k", F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).withColumn("up", F.col("a") < F.col("b")).drop("a", "b"))
+
+    # Inside, even-odd, of polygons of the group other than those that have the very piece.
+    band = lambda y: F.floor(y / cell)
+    mid = p.select("grp", "k").distinct().withColumn("x", (F.col("k.a.x") + F.col("k.b.x")) / 2).withColumn("y", (F.col("k.a.y") + F.col("k.b.y")) / 2).withColumn("_b", band(F.col("y")))
+    w = e.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    inside = mid.join(w, ["grp", "_b"]).where(crosses).groupBy("grp", "k", "poly").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    inside = inside.join(p.select("grp", "k", "poly"), ["grp", "k", "poly"], "left_anti").select("grp", "k").distinct()
+    out = p.join(inside, ["grp", "k"], "left_anti").groupBy("grp", "k").agg(F.min(F.struct("poly", "ax", "ay", "bx", "by")).alias("m"), F.countDistinct("up").alias("ways")).where("ways = 1")
+    return out.select("grp", "m.poly", F.col("m.ax").alias("x1"), F.col("m.ay").alias("y1"), F.col("m.bx").alias("x2"), F.col("m.by").alias("y2"))
+
+
+def union_areas(polygons: DataFrame, cell: float) -> DataFrame:
+    """grp, area, outline (metres) of the union of each group's polygons (grp, poly, ring); groups without area give no row."""
+    o = union_outline(polygons, cell)
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return o.groupBy("grp").agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"), F.sum(size).alias("outline"))
