@@ -139,3 +139,14 @@ def nuisance_class(kind: Column, tunnel: Column) -> Column:
 def street_docs(addresses: DataFrame) -> DataFrame:
     """street, x, y, n: a street's place is the mean of its addresses (street, x, y)."""
     return addresses.groupBy(names.street_name(F.col("street")).alias("street")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+
+
+def classified_lots(rows: DataFrame) -> DataFrame:
+    """id, lat, lng, klass of the lots (id, landuse, latitude, longitude, all text) whose use is lived in or traded in (classes 1 to 5)
+    and that have a place. Numbers are read from the beginning of the text, so '05' and '5b' are 5; a blank, a word or
+    a coordinate of 0 is no place."""
+    number = lambda c, rule: F.nullif(F.regexp_extract(c, rule, 1), F.lit(""))
+    real = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+    out = rows.select("id", number("latitude", real).cast("double").alias("lat"), number("longitude", real).cast("double").alias("lng"), number("landuse", r"^\s*\+?0*(\d{1,9})").cast("int").alias("klass"))
+    place = lambda c: (F.col(c) != 0) & (F.abs(c) < float("inf"))
+    return out.where(F.col("klass").between(1, 5) & place("lat") & place("lng"))

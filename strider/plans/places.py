@@ -101,7 +101,16 @@ def unordered_lanes(spark, d):
     return boats.join(lanes, "ends", "left").select("p_partkey", "lane")
 
 
+def classified_lots(spark, d):
+    """Customers as lots: now and then without a place, in classes 0 to 11."""
+    c = table(spark, d, "customer")
+    lat = F.when(F.col("c_custkey") % 10 == 0, "").when(F.col("c_custkey") % 10 == 1, "0.0").when(F.col("c_custkey") % 10 == 2, "n/a").otherwise(F.concat((F.col("c_custkey") % 90 + 1).cast("string"), F.lit(".25")))
+    rows = c.select(F.col("c_custkey").alias("id"), F.lpad((F.col("c_nationkey") % 12).cast("string"), 2, "0").alias("landuse"), lat.alias("latitude"), F.concat(F.lit("-"), (F.col("c_nationkey") + 70).cast("string")).alias("longitude"))
+    return places.classified_lots(rows)
+
+
 QUERIES = {
+    "classified_lots": classified_lots,
     "nearest_numbers": nearest_numbers, "trailing_places": trailing_places, "query_caps": query_caps, "ordinal_values": ordinal_values, "owned_names": owned_names, "area_or_nearest": area_or_nearest,
     "named_or_nearest": named_or_nearest, "merged_settings": merged_settings, "best_hits": best_hits, "hilbert_order": hilbert_order, "parcel_keys": parcel_keys, "road_classes": road_classes,
     "street_places": street_places, "unordered_lanes": unordered_lanes,
@@ -109,6 +118,7 @@ QUERIES = {
 
 _D = "d AS (SELECT e.id AS id, g.id AS rid, w, sqrt((e.x - g.x) * (e.x - g.x) + (e.y - g.y) * (e.y - g.y)) AS dist FROM e, g)"
 ORACLES = {
+    "classified_lots": "SELECT c_custkey AS id, c_custkey % 90 + 1.25e0 AS lat, (-70 - c_nationkey)::DOUBLE AS lng, (c_nationkey % 12)::INTEGER AS klass FROM customer WHERE c_custkey % 10 > 2 AND c_nationkey % 12 BETWEEN 1 AND 5",
     "nearest_numbers": """WITH a AS (SELECT s_suppkey AS address, s_suppkey % 4 AS street, s_suppkey * 17 % 400 * 10000 + s_suppkey % 3 AS key FROM supplier),
 q AS (SELECT c_custkey AS q, c_custkey % 4 AS street, c_custkey * 7 % 420 * 10000 + CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 ELSE 0 END AS key FROM customer),
 n AS (SELECT q.*, (SELECT arg_max(address, (key, address)) FROM a WHERE a.street = q.street AND a.key <= q.key) AS b, (SELECT max(key) FROM a WHERE a.street = q.street AND a.key <= q.key) AS bk,
