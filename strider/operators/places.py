@@ -150,3 +150,20 @@ def classified_lots(rows: DataFrame) -> DataFrame:
     out = rows.select("id", number("latitude", real).cast("double").alias("lat"), number("longitude", real).cast("double").alias("lng"), number("landuse", r"^\s*\+?0*(\d{1,9})").cast("int").alias("klass"))
     place = lambda c: (F.col(c) != 0) & (F.abs(c) < float("inf"))
     return out.where(F.col("klass").between(1, 5) & place("lat") & place("lng"))
+
+
+#: Kinds of service lane that are not walked, and what bars walkers.
+PRIVATE_LANES, BARRED = ("driveway", "parking_aisle", "alley", "drive-through", "emergency_access"), ("no", "private")
+
+
+def way_flags(tags: Column) -> list[Column]:
+    """tunneled, golf, cemetery_lane of a way's tags (a map; null is none): under a roof closed on both sides; a course's own path;
+    a service lane that a cemetery's walkers may take, where it lies in one."""
+    tag = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
+    stated = F.coalesce(F.try_element_at(tags, F.lit("tunnel")), F.lit("no")) != "no"
+    lane = (tag("highway") == "service") & ~tag("service").isin(*PRIVATE_LANES) & ~tag("access").isin(*BARRED) & ~tag("foot").isin(*BARRED)
+    return [
+        (stated | (tag("covered") == "yes")).alias("tunneled"),
+        tag("golf").isin("cartpath", "path").alias("golf"),
+        (lane & (tag("area") != "yes") & (tag("indoor") != "yes")).alias("cemetery_lane"),
+    ]

@@ -109,7 +109,16 @@ def classified_lots(spark, d):
     return places.classified_lots(rows)
 
 
+def way_flags(spark, d):
+    """Orders as ways, tagged by their columns."""
+    key = F.col("o_orderkey")
+    pick = lambda n, *of: F.get(F.array(*[F.lit(x) for x in of]), (F.floor(key / n) % len(of)).cast("int"))
+    tags = F.map_from_arrays(F.array(*[F.lit(k) for k in ("tunnel", "covered", "golf", "highway", "service", "access", "foot", "area")]), F.array(F.when(F.col("o_orderstatus") == "F", "building_passage").when(F.col("o_orderstatus") == "O", "no"), pick(1, "yes", "arcade", "no"), pick(3, "path", "hole", "cartpath", None), pick(2, "service", "path"), pick(4, "alley", "drive", None), pick(5, "permissive", "private", "no", None), pick(7, None, "yes", "no"), pick(11, "no", "yes", None)))
+    return table(spark, d, "orders").select("o_orderkey", *places.way_flags(F.map_filter(tags, lambda _, v: v.isNotNull())))
+
+
 QUERIES = {
+    "way_flags": way_flags,
     "classified_lots": classified_lots,
     "nearest_numbers": nearest_numbers, "trailing_places": trailing_places, "query_caps": query_caps, "ordinal_values": ordinal_values, "owned_names": owned_names, "area_or_nearest": area_or_nearest,
     "named_or_nearest": named_or_nearest, "merged_settings": merged_settings, "best_hits": best_hits, "hilbert_order": hilbert_order, "parcel_keys": parcel_keys, "road_classes": road_classes,
@@ -118,6 +127,8 @@ QUERIES = {
 
 _D = "d AS (SELECT e.id AS id, g.id AS rid, w, sqrt((e.x - g.x) * (e.x - g.x) + (e.y - g.y) * (e.y - g.y)) AS dist FROM e, g)"
 ORACLES = {
+    "way_flags": """SELECT o_orderkey, o_orderstatus = 'F' OR o_orderkey % 3 = 0 AS tunneled, o_orderkey // 3 % 4 IN (0, 2) AS golf,
+    o_orderkey // 2 % 2 = 0 AND o_orderkey // 4 % 3 <> 0 AND o_orderkey // 5 % 4 IN (0, 3) AND o_orderkey // 7 % 3 <> 2 AND o_orderkey // 11 % 3 <> 1 AS cemetery_lane FROM orders""",
     "classified_lots": "SELECT c_custkey AS id, c_custkey % 90 + 1.25e0 AS lat, (-70 - c_nationkey)::DOUBLE AS lng, (c_nationkey % 12)::INTEGER AS klass FROM customer WHERE c_custkey % 10 > 2 AND c_nationkey % 12 BETWEEN 1 AND 5",
     "nearest_numbers": """WITH a AS (SELECT s_suppkey AS address, s_suppkey % 4 AS street, s_suppkey * 17 % 400 * 10000 + s_suppkey % 3 AS key FROM supplier),
 q AS (SELECT c_custkey AS q, c_custkey % 4 AS street, c_custkey * 7 % 420 * 10000 + CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 ELSE 0 END AS key FROM customer),
