@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from strider.operators import stats
 from strider.sources.tables import table
 
-#: The fronting rule, with a gate that the stand-in columns reach.
+#: The reference's fronting rule (commercial.rs:31-38). The gate picks blocks after every lot is counted.
 MIN_LOTS, GATE_SHARE, GATE_HEIGHT = 4, 0.5, 25
 
 
 def fronting_signals(spark, d):
-    """Per block (a part's brand): share of commercial lots, upper median height, flags; gated, ranked."""
+    """Per block (a part's brand): share of commercial lots, upper median height, flags; every block that passes the gate, ranked."""
     lots = (
         table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_returnflag")
         .join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("block"), F.col("p_size").alias("height")), "l_partkey")
@@ -27,7 +27,7 @@ def fronting_signals(spark, d):
     gated = run.groupBy("block", "lots").agg(F.sum("hits").alias("hits"), F.expr("bit_or(flag)").cast("int").alias("flags"), F.max(F.when((F.col("run") - F.col("n") < middle) & (middle <= F.col("run")), F.col("height"))).alias("height"))
     gated = gated.withColumn("share", F.round(F.when(F.col("lots") >= MIN_LOTS, F.col("hits") / F.col("lots")).otherwise(0.0), 6))
     gated = gated.where((F.col("share") >= GATE_SHARE) & (F.col("height") <= GATE_HEIGHT) & (F.col("flags").bitwiseAND(6) != 0))
-    return gated.select("block", "lots", "share", "height", "flags").orderBy(F.desc("share"), "block").limit(20)
+    return gated.select("block", "lots", "share", "height", "flags").orderBy(F.desc("share"), "block")
 
 
 def medians(spark, d):
@@ -121,7 +121,7 @@ WITH lots AS (SELECT p_brand AS block, p_size AS height, l_returnflag, 1 << CAST
     FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 s AS (SELECT block, count(*) AS lots, round(CASE WHEN count(*) >= 4 THEN count(*) FILTER (WHERE l_returnflag <> 'N') / count(*) ELSE 0 END, 6) AS share,
     list_sort(list(height))[count(*) // 2 + 1] AS height, CAST(bit_or(flag) AS INTEGER) AS flags FROM lots GROUP BY block)
-SELECT * FROM s WHERE share >= 0.5 AND height <= 25 AND (flags & 6) <> 0 ORDER BY share DESC, block LIMIT 20""",
+SELECT * FROM s WHERE share >= 0.5 AND height <= 25 AND (flags & 6) <> 0 ORDER BY share DESC, block""",
     "medians": """SELECT l_suppkey, median(l_quantity) AS mean_median, CAST(floor(median(l_quantity) + 0.5) AS BIGINT) AS rounded_median,
     list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey""",
     "quantiles": """SELECT o_orderpriority, quantile_disc(o_totalprice, 0.5) AS p50, quantile_disc(o_totalprice, 0.9) AS p90, quantile_disc(o_totalprice, 0.99) AS p99,
