@@ -5,21 +5,25 @@ COMMON most frequent ones (a fixed bound) are sent to all tasks; what documents
 joined with the full count table, so that every token has its exact count.
 
 Model: the VOCABULARY most frequent tokens in classes of equal size, all other tokens in one
-class more. log p(token | context) = log softmax over classes + log softmax over the class's
-tokens; inside the last class, smoothed counts. Features are hashed: the last word, the one
-before, both (n-grams), the third last (a skip), each with weights for classes; the last word
-has weights for tokens too. Every task makes gradient steps over its own documents from the
-same start; the parameter blocks that tasks return are averaged by Spark, weighted by tokens.
+class more, which is a tree of classes: each level is a softmax over the next bits of the token's
+hash, started at the counts below, until about IN_CLASS tokens share a leaf. The tree is sized by
+the distinct tokens, so that context chooses among all of them; a leaf's few tokens are told apart
+by their exact counts. log p(token | context) = log softmax over classes + log softmax over the
+class's tokens (in the last class: the levels' log softmax + log share of the leaf). Features are
+hashed: the last word, the one before, both (n-grams), the third last (a skip), each with weights
+for classes; the last word has weights for tokens and for the tree's nodes too. Every task makes
+gradient steps over its own documents from the same start; the parameter blocks that tasks return
+are averaged by Spark, weighted by tokens.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -31,13 +35,14 @@ from strider.llm.shared import keep
 COMMON = 200_000
 CLASSES, IN_CLASS = 32, 32
 VOCABULARY = CLASSES * IN_CLASS
-CONTEXT_ROWS, WORD_ROWS = 1 << 13, 1 << 9
-BATCH, RATE = 2048, 0.3
+CONTEXT_ROWS, WORD_ROWS, NODE_ROWS = 1 << 13, 1 << 9, 1 << 15
+LEVEL_BITS, LEAF_SHIFT = 5, 20  # at most 32 branches a node; the leaf is read from these bits of the hash
+BATCH, RATE, NODE_PRIOR = 2048, 0.3, 3.0
+SLICE_BYTES = 1 << 20  # text in one step of a task
 BLOCK = 1 << 14  # parameters in a row that a task returns
 _END = b""  # no word is empty, so this is the end token
 _BOS = np.uint64(0xFFFFFFFFFFFFFFFF)
 _TOP = 1 << 63
-_CACHE = 300_000
 _SEEDS = (11, 12, 13, 14)
 
 
@@ -61,35 +66,29 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                seen: Counter[bytes] = Counter()
-                for t in b.slice(i, 4096).column(0).to_pylist():
-                    seen.update(tokens(t))
-                h = np.fromiter(map(_hash, seen), np.uint64, len(seen)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["h", "c"])
+            for _, words, at, _ in _slices(b.column(0)):
+                seen = np.bincount(at, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(words[seen > 0].view(np.int64)), pa.array(seen[seen > 0])], names=["h", "c"])
 
     return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class _Memory(dict):
-    """token -> its rank among the common ones, or else its hash."""
+_SCRATCH: dict[str, np.ndarray] = {}
 
-    def __init__(self, ranks: dict[int, int]):
-        super().__init__()
-        self.ranks = ranks
 
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        value = self.ranks.get(h, h)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def _scratch(name: str, n: int, k: int, dtype: type = np.float32) -> np.ndarray:
+    """An n x k array that the next call of this name writes over: a task's steps are many, and fresh
+    memory for each costs more than its arithmetic."""
+    if name not in _SCRATCH or len(_SCRATCH[name]) < n * k:
+        _SCRATCH[name] = np.empty(max(n, BATCH) * max(k, CLASSES + 1), dtype)
+    return _SCRATCH[name][: n * k].reshape(n, k)
 
 
 class Model:
     """Parameters; bias starts at the counts, the weights of features at zero."""
 
-    def __init__(self, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, counts: np.ndarray, total: int, distinct: int, hashes: np.ndarray | None = None, masses: np.ndarray | None = None):
+        """masses: of the tree's leaves (see leaf_masses); without them the last class has no tree."""
         n = min(VOCABULARY, len(counts))
         known = np.zeros(VOCABULARY)
         known[:n] = counts[:n]
@@ -102,44 +101,90 @@ class Model:
             self.word_bias = np.where(known > 0, np.log(np.maximum(known, 1e-9)), -40.0).astype(np.float32).reshape(CLASSES, IN_CLASS)
         self.by_context = np.zeros((len(_SEEDS), CONTEXT_ROWS, CLASSES + 1), np.float32)
         self.by_word = np.zeros((WORD_ROWS, CLASSES, IN_CLASS), np.float32)
+        self.by_node = np.zeros((NODE_ROWS, 1 << LEVEL_BITS), np.float32)
+        self.hashes = np.zeros(0, np.uint64) if hashes is None else hashes.view(np.uint64)
+        self.known_share = max(self.rest_mass - 0.5, 1e-9) / self.rest_mass  # of the last class: the rest is for unknown tokens
+        self.leaves, self.levels = 0, []
+        if masses is not None:
+            self._plant(masses)
+
+    def _plant(self, masses: np.ndarray) -> None:
+        """The levels of the tree: (shift, width in bits, log masses of each node's branches)."""
+        self.leaves, bits = len(masses), len(masses).bit_length() - 1
+        self.leaf_log = np.log(np.maximum(masses, 1e-9))
+        depth = -(-bits // LEVEL_BITS)
+        for i, shift in enumerate(np.cumsum([bits * (k + 1) // depth - bits * k // depth for k in range(depth)])):
+            width = bits * (i + 1) // depth - bits * i // depth
+            below = masses.reshape(1 << int(shift), -1).sum(axis=1)
+            self.levels.append((bits - int(shift), width, np.log(np.maximum(below, 1e-9)).astype(np.float32).reshape(-1, 1 << width)))
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([self.by_context.ravel(), self.by_word.ravel()])
+        return np.concatenate([w.ravel() for w in (self.by_context, self.by_word, self.by_node)])
 
     def put(self, flat: np.ndarray) -> None:
-        n = self.by_context.size
-        self.by_context = flat[:n].reshape(self.by_context.shape).copy()
-        self.by_word = flat[n:].reshape(self.by_word.shape).copy()
+        n = np.cumsum([self.by_context.size, self.by_word.size])
+        self.by_context, self.by_word, self.by_node = (x.reshape(w.shape).copy() for x, w in zip(np.split(flat, n), (self.by_context, self.by_word, self.by_node)))
+
+    def _leaf(self, v: np.ndarray) -> np.ndarray:
+        h = v.copy()
+        common = np.flatnonzero(v < len(self.hashes))
+        h[common] = self.hashes[v[common].astype(np.int64)]
+        return ((h >> np.uint64(LEAF_SHIFT)) & np.uint64(self.leaves - 1)).astype(np.int64)
+
+    def _walk(self, last: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level: rows of the node's weights given the last word, shares of its branches, the branch taken."""
+        for shift, width, bias in self.levels:
+            node = leaf >> (shift + width)
+            rows = (mix(last + (node + len(bias)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 22) % np.uint64(NODE_ROWS)).astype(np.int64)
+            z, more = _scratch("level", len(leaf), 1 << width), _scratch("more", len(leaf), 1 << LEVEL_BITS)
+            np.take(bias, node, axis=0, out=z, mode="clip")
+            np.take(self.by_node, rows, axis=0, out=more, mode="clip")
+            z += more[:, : 1 << width]
+            yield rows, self._softmax(z), (leaf >> shift) & ((1 << width) - 1)
+
+    def tree_log_probabilities(self, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Natural logs, for tokens of the last class, of the way to the leaf over the leaf's mass: with
+        log(count + 0.5) and log(known_share) it makes the token's share of the class. Others: 0."""
+        out, last = np.zeros(len(v)), _back(v, starts, 1)
+        rest = np.flatnonzero(v >= self.words)
+        for s in range(0, len(rest), BATCH):
+            at = rest[s : s + BATCH]
+            leaf = self._leaf(v[at])
+            x = -self.leaf_log[leaf]
+            for _, p, branch in self._walk(last[at], leaf):
+                x += np.log(p[np.arange(len(at)), branch].astype(np.float64) + 1e-30)
+            out[at] = x
+        return out
 
     def _features(self, v: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Rows of the hashed features of each token's context; starts are documents' first tokens."""
-        at = np.arange(len(v)) - np.repeat(starts, np.diff(np.append(starts, len(v))))
-
-        def back(k: int) -> np.ndarray:
-            out = np.full(len(v), _BOS)
-            out[k:] = v[:-k]
-            out[at < k] = _BOS
-            return out
-
-        p1, p2, p3 = (mix(back(k), 50 + k) for k in (1, 2, 3))
+        p1, p2, p3 = (_back(v, starts, k) for k in (1, 2, 3))
         rows = [p1, p2, p1 * np.uint64(3) + p2, p3]
         return [(mix(r, s) % np.uint64(CONTEXT_ROWS)).astype(np.int64) for r, s in zip(rows, _SEEDS)], (mix(p1, 21) % np.uint64(WORD_ROWS)).astype(np.int64)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        """In the place of z."""
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
     def _forward(self, rows: list[np.ndarray], word_rows: np.ndarray, v: np.ndarray):
-        z = np.repeat(self.class_bias[None], len(v), axis=0)
+        z, more = _scratch("classes", len(v), CLASSES + 1), _scratch("more", len(v), CLASSES + 1)
+        z[:] = self.class_bias
         for w, r in zip(self.by_context, rows):
-            z += w[r]
+            z += np.take(w, r, axis=0, out=more, mode="clip")
         known = np.flatnonzero(v < self.words)
         of = v[known].astype(np.int64)
         c, i = of // IN_CLASS, of % IN_CLASS
         y = np.full(len(v), CLASSES)
         y[known] = c
-        inside = self._softmax(self.word_bias[c] + self.by_word[word_rows[known], c]) if len(known) else np.zeros((0, IN_CLASS), np.float32)
+        inside, more = _scratch("inside", len(known), IN_CLASS), _scratch("more", len(known), IN_CLASS)
+        if len(known):
+            np.take(self.word_bias, c, axis=0, out=inside, mode="clip")
+            inside += np.take(self.by_word.reshape(-1, IN_CLASS), word_rows[known] * CLASSES + c, axis=0, out=more, mode="clip")
+            self._softmax(inside)
         return self._softmax(z), y, known, c, i, inside
 
     def log_probabilities(self, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -167,31 +212,88 @@ class Model:
                 inside[np.arange(len(known)), i] -= 1
                 flat = self.by_word.reshape(-1, IN_CLASS)
                 _descend(flat, word_rows[s:e][known] * CLASSES + c, inside)
-
-
-def _descend(w: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    if len(w) <= 1 << 16:
-        rows = rows.astype(np.uint16)  # sorted by radix
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-    n = np.diff(np.append(first, len(rows))).astype(np.float32)[:, None]
-    w[sorted_rows[first]] -= RATE * np.add.reduceat(gradient[order], first, axis=0) / n
-
-
-def _slices(column: pa.Array, memory: _Memory) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, tokens, starts) of about 100,000 tokens of whole texts."""
-    parts, begin, total = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
-        if len(memory) > _CACHE:
-            memory.clear()
-        words = tokens(t)
-        parts.append(np.fromiter(map(memory.__getitem__, words), np.uint64, len(words)))
-        total += len(words)
-        if total > 100_000 or i == len(column) - 1:
-            starts = np.cumsum([0, *[len(p) for p in parts[:-1]]])
-            yield begin, np.concatenate(parts), starts
-            parts, begin, total = [], i + 1, 0
+        if self.levels:
+            self._learn_tree(v, starts)
+
+    def _learn_tree(self, v: np.ndarray, starts: np.ndarray) -> None:
+        last, rest = _back(v, starts, 1), np.flatnonzero(v >= self.words)
+        for s in range(0, len(rest), BATCH):
+            at = rest[s : s + BATCH]
+            for rows, p, branch in self._walk(last[at], self._leaf(v[at])):
+                p[np.arange(len(at)), branch] -= 1
+                _descend(self.by_node, rows, p, NODE_PRIOR)
+
+
+def _back(v: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the token k places before each, within its document."""
+    out = np.full(len(v), _BOS)
+    out[k:] = v[:-k]
+    at = np.arange(len(v)) - np.repeat(starts, np.diff(np.append(starts, len(v))))
+    out[at < k] = _BOS
+    return mix(out, 50 + k)
+
+
+def _descend(w: np.ndarray, rows: np.ndarray, gradient: np.ndarray, prior: float = 0.0) -> None:
+    """Each row moves by the mean of its gradients (with a prior, by less where they are few)."""
+    n = _scratch("times", len(w), 1, np.int64).reshape(-1)
+    n[:] = 0
+    np.add.at(n, rows, 1)
+    n = n[rows]
+    step, at = _scratch("step", *gradient.shape), _scratch("at", *gradient.shape, np.int64)
+    np.multiply(gradient, (RATE / (n + prior)).astype(np.float32)[:, None], out=step)
+    np.add(rows[:, None] * w.shape[1], np.arange(gradient.shape[1]), out=at)
+    np.subtract.at(w.reshape(-1), at.reshape(-1), step.reshape(-1))
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    """Like to_pylist() of a binary array without nulls, but at a tenth of its cost."""
+    words = words.cast(pa.large_binary())
+    _, ends, data = words.buffers()
+    at = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def _encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of tokens(), for many texts: hashes of distinct words, each token's word, starts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    coded = lists.flatten().dictionary_encode()
+    words = _bytes(coded.dictionary)
+    hashes = np.fromiter(map(_hash, [*words, _END]), np.uint64, len(words) + 1)
+    empty = words.index(_END) if _END in words else -1  # stands for a text's edge or a run of white space
+    found = coded.indices.to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(column)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    rows, found = rows[found != empty], found[found != empty]
+    n = np.bincount(rows, minlength=len(column)) + 1  # an end each
+    at = np.full(n.sum(), len(words))
+    at[np.arange(len(found)) + rows] = found
+    return hashes, at, np.cumsum(n) - n
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, hashes of distinct words, each token's word, starts) of about SLICE_BYTES of whole texts."""
+    done = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(column):
+        before = done[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(done, before + SLICE_BYTES, "right")))
+        yield begin, *_encoded(column.slice(begin, end - begin))
+        begin = end
+
+
+class Common:
+    """The common tokens' ranks: a token is its rank among them, or else its hash."""
+
+    def __init__(self, hashes: np.ndarray):
+        h = hashes.view(np.uint64)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+
+    def values(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return hashes
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at].astype(np.uint64), hashes)
 
 
 def common_tokens(counts: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -225,21 +327,36 @@ def _averaged(parts: DataFrame, model: Model) -> np.ndarray:
     return flat
 
 
-def train(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, rounds: int = 1) -> Model:
+def leaf_masses(counts: DataFrame, hashes: np.ndarray, found: np.ndarray, distinct: int) -> np.ndarray:
+    """For each leaf of the tree: sum of count + 0.5 over its tokens, without those of the first classes.
+
+    As many leaves (a power of two) as leave IN_CLASS tokens or fewer in each, on average."""
+    first = min(VOCABULARY, len(hashes))
+    leaves = 1 << (max(0, -(-(distinct - first) // IN_CLASS) - 1)).bit_length()
+    leaf = F.shiftrightunsigned("h", LEAF_SHIFT).bitwiseAND(F.lit(leaves - 1))
+    got = counts.groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+    twice = np.zeros(leaves, np.int64)  # whole numbers, so that what is taken away leaves no crumbs
+    twice[got["leaf"].to_numpy()] = 2 * got["c"].to_numpy() + got["n"].to_numpy()
+    of = (hashes[:first].view(np.uint64) >> np.uint64(LEAF_SHIFT)) & np.uint64(leaves - 1)
+    np.subtract.at(twice, of.astype(np.int64), 2 * found[:first] + 1)
+    return twice / 2
+
+
+def train(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, rounds: int = 1, masses: np.ndarray | None = None) -> Model:
     """One pass over all training texts for each round."""
-    spark, model = texts.sparkSession, Model(counts, total, distinct)
-    ranks = spark.sparkContext.broadcast({int(h) & 0xFFFFFFFFFFFFFFFF: i for i, h in enumerate(hashes)})
+    spark, model = texts.sparkSession, Model(counts, total, distinct, hashes, masses)
+    common = spark.sparkContext.broadcast(Common(hashes))
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, memory, seen = Model.__new__(Model), _Memory(ranks.value), 0
+            m, seen = Model.__new__(Model), 0
             m.__dict__.update(start.value.__dict__)
             m.put(start.value.parameters())
             for b in batches:
-                for _, v, starts in _slices(b.column(0), memory):
-                    m.learn(v, starts)
-                    seen += len(v)
+                for _, words, at, starts in _slices(b.column(0)):
+                    m.learn(common.value.values(words)[at], starts)
+                    seen += len(at)
             if seen:
                 flat = m.parameters()
                 for k in range(0, len(flat), BLOCK):
@@ -249,43 +366,47 @@ def train(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int,
     return model
 
 
-_PART = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>, out_words long"
+_PART = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>, ways array<double>"
 
 
 def _parts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, model: Model) -> DataFrame:
-    """Per document: sums over common tokens, and its other tokens with how often each occurs."""
+    """Per document: sums over common tokens, and its other tokens with how often each occurs and
+    the sum of log10 of the ways to its leaf."""
     sc = docs.sparkSession.sparkContext
-    ranks = sc.broadcast({int(h) & 0xFFFFFFFFFFFFFFFF: i for i, h in enumerate(hashes)})
+    ranks = sc.broadcast(Common(hashes))
     logs = sc.broadcast((np.log10(counts + 0.5), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (log_c, m), memory = logs.value, _Memory(ranks.value)
+        log_c, m = logs.value
+        share = np.log10(m.known_share)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for begin, v, starts in _slices(b.column(2), memory):
+            for begin, words, at, starts in _slices(b.column(2)):
+                v = ranks.value.values(words)[at]
                 p = m.log_probabilities(v, starts) / np.log(10)
+                way = m.tree_log_probabilities(v, starts) / np.log(10)
                 ends = np.append(starts[1:], len(v))
-                out = {k: [] for k in ("row", "n_tokens", "known", "base", "score", "rare", "times", "out_words")}
+                out = {k: [] for k in ("row", "n_tokens", "known", "base", "score", "rare", "times", "ways")}
                 for s, e in zip(starts, ends):
                     x = v[s:e]
                     common = x < len(log_c)
                     logs_here = log_c[x[common].astype(np.int64)]
-                    rare, times = np.unique(x[~common], return_counts=True)
+                    rare, of, times = np.unique(x[~common], return_inverse=True, return_counts=True)
                     rest = common & (x >= m.words)  # common, but in the model's last class
                     out["row"].append(row)
                     out["n_tokens"].append(e - s)
                     out["known"].append(int(common.sum()))
                     out["base"].append(float(logs_here.sum()))
-                    out["score"].append(float(p[s:e].sum() + log_c[x[rest].astype(np.int64)].sum()))
+                    out["score"].append(float(p[s:e].sum() + (log_c[x[rest].astype(np.int64)] + way[s:e][rest] + share).sum()))
                     out["rare"].append(rare.view(np.int64))
                     out["times"].append(times.astype(np.int32))
-                    out["out_words"].append(int((x >= m.words).sum()))
+                    out["ways"].append(np.bincount(of, way[s:e][~common], len(rare)))
                     row += 1
                 n = len(starts)
                 ids, held = b.column(0).slice(begin, n), b.column(1).slice(begin, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["row"], pa.int64()), ids, held, pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32())), pa.array(out["out_words"], pa.int64())],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "out_words"],
+                    [pa.array(out["row"], pa.int64()), ids, held, pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32())), pa.array(out["ways"], pa.list_(pa.float64()))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "ways"],
                 )
 
     return keep(docs.mapInArrow(run, _PART), "score_parts")
@@ -304,17 +425,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     got = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = got["n"] or 0, got["v"]
     hashes, found = common_tokens(counts, common)
-    model = train(texts, hashes, found, total, distinct, rounds)
+    model = train(texts, hashes, found, total, distinct, rounds, leaf_masses(counts, hashes, found, distinct))
     parts = _parts(rows, hashes, found, model)
 
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
+    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times", "ways")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("k"), F.col("x.ways").alias("way"))
     joined = rare.join(counts, "h", "left")
-    logs = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    sums = joined.groupBy("row").agg(F.sum(F.col("k") * logs).alias("rare_logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"))
-    out = parts.drop("rare", "times").join(sums, "row", "left")
+    known, logs = F.col("c").isNotNull(), F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
+    in_class = F.when(known, F.col("way") + F.col("k") * float(np.log10(model.known_share))).otherwise(-F.col("k") * float(np.log10(model.rest_mass)))
+    sums = joined.groupBy("row").agg(F.sum(logs).alias("rare_logs"), F.sum(logs + in_class).alias("rare_score"), F.sum(F.when(known, F.col("k")).otherwise(0)).alias("rare_known"))
+    out = parts.drop("rare", "times", "ways").join(sums, "row", "left")
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    rest = float(np.log10(model.rest_mass))
     return out.select(
         "doc_id",
         "held_out",
@@ -322,5 +443,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + rare_logs - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("score") + rare_logs - F.col("out_words") * rest).alias("score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

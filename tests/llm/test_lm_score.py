@@ -3,6 +3,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 
 from strider.llm import lm_score
 
@@ -53,3 +54,73 @@ def test_probabilities_sum_to_one():
     last = np.exp(m.log_probabilities(np.array([7, 9, 1400], np.uint64), np.array([0]))[2])
     total += last * (counts[m.words :].sum() + 700 + 0.5 * (2000 - m.words + 1)) / rest
     assert abs(total - 1) < 1e-3
+
+
+def test_texts_are_split_as_words_are():
+    texts = [None, "", "  ", "a", " B  a\tb\x0b\x0c\r\n", "a\x1cb\x85c É é", "x" * 5000, "a b " * 2000, None, "end "]
+    for column in (pa.array(texts), pa.array(["skipped", *texts, "too"]).slice(1, len(texts))):
+        got = []
+        for _, hashes, at, starts in lm_score._slices(column):
+            got += [p.tolist() for p in np.split(hashes[at], starts[1:])]
+        assert got == [[lm_score._hash(w) for w in lm_score.tokens(t)] for t in texts]
+
+
+def test_scores_without_features_are_the_counts(spark, documents, odd_docs):
+    """Of every token: frequent ones, those of the tree, those that tasks do not hold, unknown ones."""
+    for df, common in ((documents, 200_000), (documents, 1500), (documents, 50), (odd_docs, 5)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+        c = Counter(w for i, t in rows if not held(i) for w in words(t))
+        counts = sorted(c.values(), reverse=True)
+        got = lm_score.score(df, rounds=0, common=common).collect()
+        # All tokens of a count are sent to the tasks or none: the least count of which all fit.
+        least = min((k for k in set(counts) if sum(x >= k for x in counts) <= common), default=float("inf"))
+        in_classes = min(1024, sum(x >= least for x in counts))
+        border = counts[in_classes - 1] if in_classes else float("inf")
+        if 0 < in_classes < len(counts) and counts[in_classes] == border:
+            # Tied tokens at the border count c or c + 0.5 by their hash: allow either.
+            slack = log10((border + 0.5) / border)
+        else:
+            slack = 0.0
+        z = sum(c.values()) + 0.5 * (len(c) - in_classes + 1)
+        want = {}
+        for i, t in rows:
+            x = sum(log10((c[w] + (0.5 if c[w] < border or not in_classes else 0)) / z) for w in words(t))
+            want.setdefault((str(i), len(words(t))), []).append((x, x + slack * sum(c[w] == border for w in words(t))))
+        assert all(any(a - 1e-4 * r.n_tokens - 1e-3 <= r.score <= b + 1e-4 * r.n_tokens + 1e-3 for a, b in want[(str(r.doc_id), r.n_tokens)]) for r in got)
+
+
+def test_context_tells_words_apart_beyond_the_first_classes(spark):
+    """Which word of a pair follows is learnt for words that are rarer than the 1 024 of the first classes."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), " ".join(f"w{w}" for w in rng.permutation(1100))) for i in range(1000, 1040)]
+    rows += [(int(i), " ".join(f"a{k} b{k}" for k in rng.permutation(300))) for i in range(2000, 2030)]
+    order = rng.permutation(300)
+    known = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    mixed = next(i for i in range(6000, 7000) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows += [(known, " ".join(f"a{k} b{k}" for k in order)), (mixed, " ".join(f"a{k} b{j}" for k, j in zip(order, np.roll(order, 1))))]
+    got = {r.doc_id: r for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert abs(got[known].base_score - got[mixed].base_score) < 1e-6
+    # 300 pairs; the classes alone, which see that pairs are known, make a difference of 12, the tree 38.
+    assert got[known].score > got[mixed].score + 25
+
+
+def test_probabilities_of_the_whole_vocabulary_sum_to_one():
+    rng = np.random.default_rng(7)
+    counts = np.sort(rng.integers(1, 300, 6000))[::-1]
+    hashes = rng.integers(0, 1 << 63, 6000).astype(np.uint64) | np.uint64(1 << 63)
+    rare = np.s_[4000:]  # tokens that tasks know by their hash alone
+    leaf = (hashes >> np.uint64(lm_score.LEAF_SHIFT)) & np.uint64(255)
+    masses = np.bincount(leaf[1024:].astype(np.int64), counts[1024:] + 0.5, 256)
+    m = lm_score.Model(counts[:4000], int(counts.sum()), 6000, hashes[:4000].view(np.int64), masses)
+    everything = np.arange(6000, dtype=np.uint64)
+    everything[rare] = hashes[rare]
+    v = everything[rng.integers(0, 6000, 20_000)]
+    m.learn(v, np.array([0, 7000]))
+    assert np.abs(m.by_node).max() > 0
+    after = np.stack([np.full(6000, v[3]), np.full(6000, v[4]), everything], axis=1).ravel()
+    starts = np.arange(0, len(after), 3)
+    p = m.log_probabilities(after, starts)[2::3]
+    p[1024:] += m.tree_log_probabilities(after, starts)[2::3][1024:] + np.log(counts[1024:] + 0.5) + np.log(m.known_share)
+    unknown = m.log_probabilities(np.array([v[3], v[4], hashes[-1]]), np.array([0]))[2] + np.log(0.5) - np.log(m.rest_mass)
+    assert abs(np.exp(p).sum() + np.exp(unknown) - 1) < 1e-3
