@@ -24,7 +24,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ from strider.llm.shared import keep
 COMMON = 200_000
 CLASSES, IN_CLASS = 32, 32
 VOCABULARY = CLASSES * IN_CLASS
+WIDE = CLASSES + 2  # of class weights: one column for the last class, and an unused one that makes the width even (see _descend)
+BOUND = np.float32(80)  # of logits
 CONTEXT_ROWS, WORD_ROWS, NODE_ROWS = 1 << 13, 1 << 9, 1 << 15
 LEVEL_BITS, LEAF_SHIFT = 5, 20  # at most 32 branches a node; the leaf is read from these bits of the hash
 BATCH, RATE, NODE_PRIOR = 2048, 0.3, 3.0
@@ -57,8 +58,13 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def _hashes(words: np.ndarray) -> np.ndarray:
+    """Of an array of bytes objects; never below COMMON."""
+    return pd.util.hash_array(words, categorize=False) | np.uint64(_TOP)
+
+
 def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) | _TOP  # never below COMMON
+    return int(_hashes(np.array([word], object))[0])
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def _scratch(name: str, n: int, k: int, dtype: type = np.float32) -> np.ndarray:
     """An n x k array that the next call of this name writes over: a task's steps are many, and fresh
     memory for each costs more than its arithmetic."""
     if name not in _SCRATCH or len(_SCRATCH[name]) < n * k:
-        _SCRATCH[name] = np.empty(max(n, BATCH) * max(k, CLASSES + 1), dtype)
+        _SCRATCH[name] = np.empty(max(n, BATCH) * max(k, WIDE), dtype)
     return _SCRATCH[name][: n * k].reshape(n, k)
 
 
@@ -97,9 +103,9 @@ class Model:
         self.words = n
         per_class = known.reshape(CLASSES, IN_CLASS)
         with np.errstate(divide="ignore"):
-            self.class_bias = np.log(np.append(per_class.sum(axis=1), self.rest_mass) + 1e-9).astype(np.float32)
-            self.word_bias = np.where(known > 0, np.log(np.maximum(known, 1e-9)), -40.0).astype(np.float32).reshape(CLASSES, IN_CLASS)
-        self.by_context = np.zeros((len(_SEEDS), CONTEXT_ROWS, CLASSES + 1), np.float32)
+            self.class_bias = np.append(_below_zero(np.log(np.append(per_class.sum(axis=1), self.rest_mass) + 1e-9)), -BOUND)
+            self.word_bias = _below_zero(np.where(known > 0, np.log(np.maximum(known, 1e-9)), -40.0).reshape(CLASSES, IN_CLASS))
+        self.by_context = np.zeros((len(_SEEDS), CONTEXT_ROWS, WIDE), np.float32)
         self.by_word = np.zeros((WORD_ROWS, CLASSES, IN_CLASS), np.float32)
         self.by_node = np.zeros((NODE_ROWS, 1 << LEVEL_BITS), np.float32)
         self.hashes = np.zeros(0, np.uint64) if hashes is None else hashes.view(np.uint64)
@@ -116,7 +122,7 @@ class Model:
         for i, shift in enumerate(np.cumsum([bits * (k + 1) // depth - bits * k // depth for k in range(depth)])):
             width = bits * (i + 1) // depth - bits * i // depth
             below = masses.reshape(1 << int(shift), -1).sum(axis=1)
-            self.levels.append((bits - int(shift), width, np.log(np.maximum(below, 1e-9)).astype(np.float32).reshape(-1, 1 << width)))
+            self.levels.append((bits - int(shift), width, _below_zero(np.log(np.maximum(below, 1e-9)).reshape(-1, 1 << width))))
 
     def parameters(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in (self.by_context, self.by_word, self.by_node)])
@@ -132,15 +138,18 @@ class Model:
         return ((h >> np.uint64(LEAF_SHIFT)) & np.uint64(self.leaves - 1)).astype(np.int64)
 
     def _walk(self, last: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each level: rows of the node's weights given the last word, shares of its branches, the branch taken."""
+        """For each level: rows of the node's weights given the last word, logits of its branches, the branch taken."""
         for shift, width, bias in self.levels:
             node = leaf >> (shift + width)
-            rows = (mix(last + (node + len(bias)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 22) % np.uint64(NODE_ROWS)).astype(np.int64)
-            z, more = _scratch("level", len(leaf), 1 << width), _scratch("more", len(leaf), 1 << LEVEL_BITS)
+            rows = _row(last + (node + len(bias)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 22, NODE_ROWS) << (LEVEL_BITS - width)
+            z, more = _scratch("level", len(leaf), 1 << width), _scratch("more", len(leaf), 1 << width)
             np.take(bias, node, axis=0, out=z, mode="clip")
-            np.take(self.by_node, rows, axis=0, out=more, mode="clip")
-            z += more[:, : 1 << width]
-            yield rows, self._softmax(z), (leaf >> shift) & ((1 << width) - 1)
+            z += np.take(self._nodes(width), rows, axis=0, out=more, mode="clip")
+            yield rows, z, (leaf >> shift) & ((1 << width) - 1)
+
+    def _nodes(self, width: int) -> np.ndarray:
+        """The weights of nodes in rows of 1 << width: a node has the first of those that its row of by_node is cut into."""
+        return self.by_node.reshape(-1, 1 << width)
 
     def tree_log_probabilities(self, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural logs, for tokens of the last class, of the way to the leaf over the leaf's mass: with
@@ -151,8 +160,8 @@ class Model:
             at = rest[s : s + BATCH]
             leaf = self._leaf(v[at])
             x = -self.leaf_log[leaf]
-            for _, p, branch in self._walk(last[at], leaf):
-                x += np.log(p[np.arange(len(at)), branch].astype(np.float64) + 1e-30)
+            for _, z, branch in self._walk(last[at], leaf):
+                x += _log_softmax(z, branch)
             out[at] = x
         return out
 
@@ -160,18 +169,12 @@ class Model:
         """Rows of the hashed features of each token's context; starts are documents' first tokens."""
         p1, p2, p3 = (_back(v, starts, k) for k in (1, 2, 3))
         rows = [p1, p2, p1 * np.uint64(3) + p2, p3]
-        return [(mix(r, s) % np.uint64(CONTEXT_ROWS)).astype(np.int64) for r, s in zip(rows, _SEEDS)], (mix(p1, 21) % np.uint64(WORD_ROWS)).astype(np.int64)
-
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        """In the place of z."""
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        return [_row(r, s, CONTEXT_ROWS) for r, s in zip(rows, _SEEDS)], _row(p1, 21, WORD_ROWS)
 
     def _forward(self, rows: list[np.ndarray], word_rows: np.ndarray, v: np.ndarray):
-        z, more = _scratch("classes", len(v), CLASSES + 1), _scratch("more", len(v), CLASSES + 1)
+        """Logits of the classes, each token's class, and of those that are in the first classes their places,
+        class, number in it and logits of the class's words."""
+        z, more = _scratch("classes", len(v), WIDE), _scratch("more", len(v), WIDE)
         z[:] = self.class_bias
         for w, r in zip(self.by_context, rows):
             z += np.take(w, r, axis=0, out=more, mode="clip")
@@ -184,8 +187,7 @@ class Model:
         if len(known):
             np.take(self.word_bias, c, axis=0, out=inside, mode="clip")
             inside += np.take(self.by_word.reshape(-1, IN_CLASS), word_rows[known] * CLASSES + c, axis=0, out=more, mode="clip")
-            self._softmax(inside)
-        return self._softmax(z), y, known, c, i, inside
+        return z, y, known, c, i, inside
 
     def log_probabilities(self, v: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural logs; for tokens of the last class, of the class only."""
@@ -193,9 +195,9 @@ class Model:
         out = np.zeros(len(v))
         for s in range(0, len(v), BATCH):
             e = min(s + BATCH, len(v))
-            p, y, known, c, i, inside = self._forward([r[s:e] for r in rows], word_rows[s:e], v[s:e])
-            out[s:e] = np.log(p[np.arange(e - s), y].astype(np.float64) + 1e-30)
-            out[s + known] += np.log(inside[np.arange(len(known)), i].astype(np.float64) + 1e-30)
+            z, y, known, c, i, inside = self._forward([r[s:e] for r in rows], word_rows[s:e], v[s:e])
+            out[s:e] = _log_softmax(z, y)
+            out[s + known] += _log_softmax(inside, i)
         return out
 
     def learn(self, v: np.ndarray, starts: np.ndarray) -> None:
@@ -204,14 +206,16 @@ class Model:
         for s in range(0, len(v), BATCH):
             e = min(s + BATCH, len(v))
             part = [r[s:e] for r in rows]
-            p, y, known, c, i, inside = self._forward(part, word_rows[s:e], v[s:e])
+            z, y, known, c, i, inside = self._forward(part, word_rows[s:e], v[s:e])
+            p = _softmax(z)
+            p[:, CLASSES + 1 :] = 0
             p[np.arange(e - s), y] -= 1
             for w, r in zip(self.by_context, part):
                 _descend(w, r, p)
             if len(known):
-                inside[np.arange(len(known)), i] -= 1
-                flat = self.by_word.reshape(-1, IN_CLASS)
-                _descend(flat, word_rows[s:e][known] * CLASSES + c, inside)
+                p = _softmax(inside)
+                p[np.arange(len(known)), i] -= 1
+                _descend(self.by_word.reshape(-1, IN_CLASS), word_rows[s:e][known] * CLASSES + c, p)
         if self.levels:
             self._learn_tree(v, starts)
 
@@ -219,9 +223,40 @@ class Model:
         last, rest = _back(v, starts, 1), np.flatnonzero(v >= self.words)
         for s in range(0, len(rest), BATCH):
             at = rest[s : s + BATCH]
-            for rows, p, branch in self._walk(last[at], self._leaf(v[at])):
+            for rows, z, branch in self._walk(last[at], self._leaf(v[at])):
+                p = _softmax(z)
                 p[np.arange(len(at)), branch] -= 1
-                _descend(self.by_node, rows, p, NODE_PRIOR)
+                _descend(self._nodes(int(p.shape[1]).bit_length() - 1), rows, p, NODE_PRIOR)
+
+
+def _below_zero(logs: np.ndarray) -> np.ndarray:
+    """Logits of the same shares, of which the largest of each row is 0."""
+    return (logs - logs.max(axis=-1, keepdims=True)).astype(np.float32)
+
+
+def _bounded(z: np.ndarray) -> np.ndarray:
+    """Logits between bounds, so that exp stays finite. They start at 0 or less and hardly ever reach one; to look
+    costs a fraction of each row's maximum."""
+    return np.clip(z, -BOUND, BOUND, out=z) if z.max(initial=0) > BOUND or z.min(initial=0) < -BOUND else z
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In the place of z."""
+    np.exp(_bounded(z), out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+    return z
+
+
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row, of one column alone. Overwrites z."""
+    chosen = _bounded(z)[np.arange(len(z)), at].astype(np.float64)
+    np.exp(z, out=z)
+    return chosen - np.log((z @ np.ones(z.shape[1], np.float32)).astype(np.float64))
+
+
+def _row(x: np.ndarray, seed: int, rows: int) -> np.ndarray:
+    """x hashed to one of `rows` rows (a power of two)."""
+    return (mix(x, seed) & np.uint64(rows - 1)).astype(np.int64)
 
 
 def _back(v: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -234,33 +269,25 @@ def _back(v: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 
 
 def _descend(w: np.ndarray, rows: np.ndarray, gradient: np.ndarray, prior: float = 0.0) -> None:
-    """Each row moves by the mean of its gradients (with a prior, by less where they are few)."""
-    n = _scratch("times", len(w), 1, np.int64).reshape(-1)
-    n[:] = 0
-    np.add.at(n, rows, 1)
-    n = n[rows]
-    step, at = _scratch("step", *gradient.shape), _scratch("at", *gradient.shape, np.int64)
-    np.multiply(gradient, (RATE / (n + prior)).astype(np.float32)[:, None], out=step)
-    np.add(rows[:, None] * w.shape[1], np.arange(gradient.shape[1]), out=at)
-    np.subtract.at(w.reshape(-1), at.reshape(-1), step.reshape(-1))
-
-
-def _bytes(words: pa.Array) -> list[bytes]:
-    """Like to_pylist() of a binary array without nulls, but at a tenth of its cost."""
-    words = words.cast(pa.large_binary())
-    _, ends, data = words.buffers()
-    at = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else []
-    raw = data.to_pybytes() if data else b""
-    return [raw[a:b] for a, b in zip(at, at[1:])]
+    """Each row moves by the mean of its gradients (with a prior, by less where they are few).
+
+    Widths are even: subtract.at then takes two numbers at a time, as one complex one."""
+    pairs, times = gradient.shape[1] // 2, _scratch("times", len(w), 1, np.int64).reshape(-1)
+    times[rows] = 0
+    np.add.at(times, rows, 1)
+    step, at = _scratch("step", *gradient.shape), _scratch("at", len(rows), pairs, np.int64)
+    np.multiply(gradient, (RATE / (times[rows] + prior)).astype(np.float32)[:, None], out=step)
+    np.add((rows * pairs)[:, None], np.arange(pairs), out=at)
+    np.subtract.at(w.reshape(-1).view(np.complex64), at.reshape(-1), step.reshape(-1).view(np.complex64))
 
 
 def _encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of tokens(), for many texts: hashes of distinct words, each token's word, starts."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
     coded = lists.flatten().dictionary_encode()
-    words = _bytes(coded.dictionary)
-    hashes = np.fromiter(map(_hash, [*words, _END]), np.uint64, len(words) + 1)
-    empty = words.index(_END) if _END in words else -1  # stands for a text's edge or a run of white space
+    words = coded.dictionary.cast(pa.large_binary())
+    hashes = _hashes(np.append(words.to_numpy(zero_copy_only=False), np.array([_END], object)))
+    empty = pc.index(words, _END).as_py()  # stands for a text's edge or a run of white space; -1: there is none
     found = coded.indices.to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(column)), lists.value_lengths().to_numpy(zero_copy_only=False))
     rows, found = rows[found != empty], found[found != empty]
@@ -369,6 +396,19 @@ def train(texts: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int,
 _PART = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>, ways array<double>"
 
 
+def _by_document(doc: np.ndarray, v: np.ndarray, way: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The distinct (doc, v) by document, how often each occurs, the sum of its ways, and the offsets of the n
+    documents. doc ascends."""
+    order = np.argsort(v, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    doc, v = doc[order], v[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(v)))
+    ways = np.bincount(np.repeat(np.arange(len(first)), times), way[order], len(first))
+    ends = np.append(0, np.cumsum(np.bincount(doc[first], minlength=n)))
+    return v[first], times, ways, pa.array(ends, pa.int32())
+
+
 def _parts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, model: Model) -> DataFrame:
     """Per document: sums over common tokens, and its other tokens with how often each occurs and
     the sum of log10 of the ways to its leaf."""
@@ -385,29 +425,31 @@ def _parts(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, model: Model
                 v = ranks.value.values(words)[at]
                 p = m.log_probabilities(v, starts) / np.log(10)
                 way = m.tree_log_probabilities(v, starts) / np.log(10)
-                ends = np.append(starts[1:], len(v))
-                out = {k: [] for k in ("row", "n_tokens", "known", "base", "score", "rare", "times", "ways")}
-                for s, e in zip(starts, ends):
-                    x = v[s:e]
-                    common = x < len(log_c)
-                    logs_here = log_c[x[common].astype(np.int64)]
-                    rare, of, times = np.unique(x[~common], return_inverse=True, return_counts=True)
-                    rest = common & (x >= m.words)  # common, but in the model's last class
-                    out["row"].append(row)
-                    out["n_tokens"].append(e - s)
-                    out["known"].append(int(common.sum()))
-                    out["base"].append(float(logs_here.sum()))
-                    out["score"].append(float(p[s:e].sum() + (log_c[x[rest].astype(np.int64)] + way[s:e][rest] + share).sum()))
-                    out["rare"].append(rare.view(np.int64))
-                    out["times"].append(times.astype(np.int32))
-                    out["ways"].append(np.bincount(of, way[s:e][~common], len(rare)))
-                    row += 1
                 n = len(starts)
+                doc = np.repeat(np.arange(n), np.diff(np.append(starts, len(v))))
+                common = v < len(log_c)
+                rest = common & (v >= m.words)  # common, but in the model's last class
+                logs_here = np.zeros(len(v))
+                logs_here[common] = log_c[v[common].astype(np.int64)]
+                p[rest] += logs_here[rest] + way[rest] + share
+                rare, times, ways, ends = _by_document(doc[~common], v[~common], way[~common], n)
                 ids, held = b.column(0).slice(begin, n), b.column(1).slice(begin, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["row"], pa.int64()), ids, held, pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], pa.list_(pa.int64())), pa.array(out["times"], pa.list_(pa.int32())), pa.array(out["ways"], pa.list_(pa.float64()))],
+                    [
+                        pa.array(np.arange(row, row + n)),
+                        ids,
+                        held,
+                        pa.array(np.bincount(doc, minlength=n)),
+                        pa.array(np.bincount(doc, common, n).astype(np.int64)),
+                        pa.array(np.bincount(doc, logs_here, n)),
+                        pa.array(np.bincount(doc, p, n)),
+                        pa.ListArray.from_arrays(ends, pa.array(rare.view(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+                        pa.ListArray.from_arrays(ends, pa.array(ways)),
+                    ],
                     names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "ways"],
                 )
+                row += n
 
     return keep(docs.mapInArrow(run, _PART), "score_parts")
 

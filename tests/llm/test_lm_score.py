@@ -1,9 +1,11 @@
+import time
 import zlib
 from collections import Counter
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from strider.llm import lm_score
 
@@ -124,3 +126,93 @@ def test_probabilities_of_the_whole_vocabulary_sum_to_one():
     p[1024:] += m.tree_log_probabilities(after, starts)[2::3][1024:] + np.log(counts[1024:] + 0.5) + np.log(m.known_share)
     unknown = m.log_probabilities(np.array([v[3], v[4], hashes[-1]]), np.array([0]))[2] + np.log(0.5) - np.log(m.rest_mass)
     assert abs(np.exp(p).sum() + np.exp(unknown) - 1) < 1e-3
+
+
+def plain_softmax(z):
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def plain_step(w, rows, gradient, prior=0.0):
+    """Each row moves by the mean of its gradients, one row at a time."""
+    for r in np.unique(rows):
+        mine = gradient[rows == r]
+        w[r, : gradient.shape[1]] -= lm_score.RATE * mine.sum(axis=0) / (len(mine) + prior)
+
+
+def test_learning_is_the_plain_gradient_step():
+    rng = np.random.default_rng(11)
+    counts = np.sort(rng.integers(1, 300, 6000))[::-1]
+    hashes = rng.integers(0, 1 << 63, 6000).astype(np.uint64) | np.uint64(1 << 63)
+    leaf = (hashes >> np.uint64(lm_score.LEAF_SHIFT)) & np.uint64(255)
+    m = lm_score.Model(counts, int(counts.sum()), 6000, hashes.view(np.int64), np.bincount(leaf[1024:].astype(np.int64), counts[1024:] + 0.5, 256))
+    v = np.minimum(rng.zipf(1.2, 5000), 6000).astype(np.uint64) - np.uint64(1)
+    starts = np.array([0, 1500, 1501])
+    contexts, words, nodes = (x.astype(np.float64) for x in (m.by_context[:, :, :33], m.by_word, m.by_node))
+    rows, word_rows = m._features(v, starts)
+    for s in range(0, len(v), lm_score.BATCH):
+        at = np.arange(s, min(s + lm_score.BATCH, len(v)))
+        p = plain_softmax(m.class_bias[:33] + sum(w[r[at]] for w, r in zip(contexts, rows)))
+        known = at[v[at] < 1024]
+        c, i = np.divmod(v[known].astype(np.int64), 32)
+        p[np.arange(len(at)), np.where(v[at] < 1024, v[at].astype(np.int64) // 32, 32)] -= 1
+        for w, r in zip(contexts, rows):
+            plain_step(w, r[at], p)
+        q = plain_softmax(m.word_bias[c] + words[word_rows[known], c])
+        q[np.arange(len(known)), i] -= 1
+        plain_step(words.reshape(-1, 32), word_rows[known] * 32 + c, q)
+    rest = np.flatnonzero(v >= 1024)
+    last, of = lm_score._back(v, starts, 1), m._leaf(v)
+    for s in range(0, len(rest), lm_score.BATCH):
+        at = rest[s : s + lm_score.BATCH]
+        for shift, width, bias in m.levels:
+            node = of[at] >> (shift + width)
+            r = (lm_score.mix(last[at] + (node + len(bias)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 22) % np.uint64(lm_score.NODE_ROWS)).astype(np.int64)
+            p = plain_softmax(bias[node] + nodes[r, : 1 << width])
+            p[np.arange(len(at)), (of[at] >> shift) & ((1 << width) - 1)] -= 1
+            plain_step(nodes, r, p, lm_score.NODE_PRIOR)
+    m.learn(v, starts)
+    assert min(np.abs(w).max() for w in (m.by_context, m.by_word, m.by_node)) > 0.1
+    assert np.abs(m.by_context[:, :, :33] - contexts).max() < 1e-4 and not m.by_context[:, :, 33:].any()
+    assert np.abs(m.by_word - words).max() < 1e-4 and np.abs(m.by_node - nodes).max() < 1e-4
+
+
+def test_logits_beyond_the_bounds_stay_finite():
+    for far in (300.0, -300.0):
+        z = np.full((3, 4), far, np.float32)
+        z[1, 2] = -far
+        p = lm_score._softmax(z.copy())
+        assert np.isfinite(p).all() and np.abs(p.sum(axis=1) - 1).max() < 1e-6
+        for k in range(4):
+            got = lm_score._log_softmax(z.copy(), np.full(3, k))
+            assert np.isfinite(got).all() and np.abs(np.exp(got) - p[:, k]).max() < 1e-6
+
+
+def test_rare_tokens_are_summed_by_document():
+    rng = np.random.default_rng(13)
+    doc, v, way = np.sort(rng.integers(1, 40, 500)), rng.integers(0, 9, 500).astype(np.uint64) | np.uint64(1 << 63), rng.random(500)
+    for n in (500, 0):
+        want = {}
+        for d, x, y in zip(doc[:n], v[:n], way[:n]):
+            k, total = want.get((d, x), (0, 0.0))
+            want[d, x] = k + 1, total + y
+        rare, times, ways, ends = lm_score._by_document(doc[:n], v[:n], way[:n], 45)
+        of = np.repeat(np.arange(45), np.diff(ends.to_numpy()))
+        assert list(zip(of, rare)) == sorted(want)
+        assert times.tolist() == [want[k][0] for k in sorted(want)] and np.allclose(ways, [want[k][1] for k in sorted(want)])
+
+
+def test_words_are_hashed_together():
+    """Splitting and coding a text costs about what a call for each of its words would (0.9 of it; 2.4 with such calls)."""
+    text = " ".join(f"w{i}" for i in range(200_000))
+    each, words = xxhash.xxh3_64_intdigest, [w.encode() for w in text.split()]
+
+    def seconds(f):
+        t = time.process_time()
+        f()
+        return time.process_time() - t
+
+    ratios = [seconds(lambda: list(lm_score._slices(pa.array([text])))) / seconds(lambda: np.fromiter((each(w) | 1 << 63 for w in words), np.uint64, len(words))) for _ in range(5)]
+    assert min(ratios) < 1.5
+    odd = [b"", b"a\0b", b"a\0c", b"a", b"\xff\xfe", "é".encode()]
+    assert len({lm_score._hash(w) for w in odd}) == len(odd)
