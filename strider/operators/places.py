@@ -71,7 +71,7 @@ def area_or_nearest(points: DataFrame, areas: DataFrame, addresses: DataFrame, b
 def named_or_nearest(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     """lid, rid: of right points (rid, x, y, name) in reach of a left one (lid, x, y, name) the
     nearest of its name, else the nearest of any."""
-    met = spatial.within(left, right, reach).join(left.select("lid", F.col("name").alias("ln")), "lid").join(right.select("rid", F.col("name").alias("rn")), "rid")
+    met = spatial.within(left, right.withColumnRenamed("name", "rn"), reach, "rn").join(left.select("lid", F.col("name").alias("ln")), "lid")
     best = met.groupBy("lid").agg(F.min(F.struct((F.col("ln") != F.col("rn")).alias("other"), "dist", "rid")).alias("m"))
     return best.select("lid", F.col("m.rid").alias("rid"), (~F.col("m.other")).alias("named"))
 
