@@ -55,7 +55,7 @@ def trailing_place(queries: DataFrame, places: DataFrame) -> DataFrame:
 def owned_names(points: DataFrame, docs: DataFrame, reach: float) -> DataFrame:
     """id, doc: the name that a point belongs to: of docs (rid, x, y, radius, head) whose radius
     reaches it, the one with the least distance after its head start (ties by doc)."""
-    met = spatial.within(points.withColumnRenamed("id", "lid"), docs, reach).join(docs.select("rid", "radius", "head"), "rid").where("dist <= radius")
+    met = spatial.within(points.withColumnRenamed("id", "lid"), docs, reach, "radius", "head").where("dist <= radius")
     return met.groupBy("lid").agg(F.min(F.struct((F.col("dist") - F.col("head")).alias("rank"), "rid")).alias("m")).select(F.col("lid").alias("id"), F.col("m.rid").alias("doc"))
 
 
