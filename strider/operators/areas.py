@@ -28,7 +28,12 @@ def intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """a, b: polygons of left and right (poly, ring of (x, y)) that share a point: their edges meet, or one holds the other.
 
     Edges of a cell meet edges of the cell; a pair is told once, whatever the number of its crossings. Points are tested
-    against bands of the other side's edges, so no polygon meets all others."""
+    against the polygons of their cell, so no polygon meets all others. Polygons with the very same rings are one until the
+    pairs are known; only then does each pair stand for all of its polygons."""
+
+    def shapes(df: DataFrame, p: str) -> DataFrame:
+        each = df.groupBy("poly").agg(F.sort_array(F.collect_list("ring")).alias("rings"))
+        return each.withColumn(p, F.min("poly").over(Window.partitionBy("rings")))
 
     def edges(df: DataFrame, p: str) -> DataFrame:
         e = polygon_edges(df)
@@ -36,12 +41,17 @@ def intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
         e = e.withColumn("_cx", bounds("x1", "x2")).withColumn("_cy", bounds("y1", "y2"))
         return e.select(F.col("poly").alias(p), "_cx", "_cy", *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
 
+    every = {"a": shapes(left, "a"), "b": shapes(right, "b")}
+    one, other = (every[p].where(F.col("poly") == F.col(p)).select("poly", F.explode("rings").alias("ring")) for p in "ab")
     sides = [[F.col(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")] for p in "ab"]
-    crossed = edges(left, "a").join(edges(right, "b"), ["_cx", "_cy"]).where(segments_meet(*sides)).select("a", "b")
+    crossed = edges(one, "a").join(edges(other, "b").hint("merge"), ["_cx", "_cy"]).where(segments_meet(*sides)).select("a", "b")
     corner = lambda df: df.select(F.col("poly").alias("id"), F.get("ring", F.lit(0))["x"].alias("x"), F.get("ring", F.lit(0))["y"].alias("y"))
-    inside = point_in_polygon(corner(left), right, cell).select(F.col("id").alias("a"), F.col("poly").alias("b"))
-    around = point_in_polygon(corner(right), left, cell).select(F.col("poly").alias("a"), F.col("id").alias("b"))
-    return crossed.unionByName(inside).unionByName(around).distinct()
+    inside = point_in_polygon(corner(one), other, cell).select(F.col("id").alias("a"), F.col("poly").alias("b"))
+    around = point_in_polygon(corner(other), one, cell).select(F.col("poly").alias("a"), F.col("id").alias("b"))
+    met = crossed.unionByName(inside).unionByName(around).distinct()
+    for p in "ba":
+        met = met.join(every[p].select(p, F.col("poly").alias(f"_{p}")).hint("merge"), p)
+    return met.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def union_outline(polygons: DataFrame, cell: float) -> DataFrame:
