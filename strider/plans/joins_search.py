@@ -71,7 +71,7 @@ def name_search(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), text.tokens(F.lower("p_name")).alias("tokens"), F.pmod(F.col("p_size") * 5, F.lit(256)).alias("prominence"))
     names = table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("q"), text.tokens(F.lower("p_name")).alias("t"))
     queries = names.select("q", F.concat(F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - 1)), F.array(F.substring(F.element_at("t", -1), 1, 3))).alias("tokens"))
-    return search.search(docs, search.postings(docs), queries, 10).select("q", "doc", F.round("score", 6).alias("score"))
+    return search.search_names(docs, queries, 10).select("q", "doc", F.round("score", 6).alias("score"))
 
 
 def cells(spark, d):
