@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strider.operators import lines
-from strider.operators.spatial import point_in_polygon, polygon_edges
+from strider.operators.spatial import point_in_polygon
 from strider.operators.stored import stored
 
 #: Rings that ground is carried at most; metres between probes of a line, and of a shade cell.
@@ -94,17 +94,28 @@ def line_shade(vertices: DataFrame, casters: DataFrame, suns: DataFrame, longest
     cells = stored(probes.select("cx", "cy").distinct().select(F.struct("cx", "cy").alias("id"), mid("cx").alias("x"), mid("cy").alias("y")))
 
     up = casters.where("height > 0 AND size(ring) > 2")
+    # Casters go to the tiles that their longest shadow may reach, and are multiplied by the suns only once they met a cell there.
+    farthest = suns.agg(F.max("reach")).first()[0]
+    wide, far = max(tile, longest), F.least(F.col("height") * F.lit(farthest), F.lit(longest)) + 1e-3
+    edge = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    e = up.select("ring", "height", *[edge(f, c).alias(f"{n}{c}") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for c in "xy"])
+    for c in "xy":
+        e = e.withColumn(f"t{c}", F.explode(F.sequence(F.floor((F.col(f"lo{c}") - far) / wide), F.floor((F.col(f"hi{c}") + far) / wide))))
+    c = cells.withColumn("tx", F.floor(F.col("x") / wide)).withColumn("ty", F.floor(F.col("y") / wide))
+    met = c.join(e.hint("merge"), ["tx", "ty"])
+    for k in "xy":
+        met = met.where((F.col(k) >= F.col(f"lo{k}") - far) & (F.col(k) <= F.col(f"hi{k}") + far))
     away = F.least(F.col("height") * F.col("reach"), F.lit(longest))
-    e = polygon_edges(up).join(up.select("poly", "height"), "poly")
-    # Every caster has a shadow under every sun: the product is the result itself.
-    e = e.join(suns, F.lit(True), "cross").withColumn("dx", away * F.col("east")).withColumn("dy", away * F.col("north"))
-    reach = lambda a, b, d: F.explode(F.sequence(F.floor(F.least(a, b, F.col(a) + F.col(d), F.col(b) + F.col(d)) / tile), F.floor(F.greatest(a, b, F.col(a) + F.col(d), F.col(b) + F.col(d)) / tile)))
-    e = e.withColumn("det", (F.col("x2") - F.col("x1")) * F.col("dy") - (F.col("y2") - F.col("y1")) * F.col("dx")).where("det <> 0")
-    e = e.withColumn("tx", reach("x1", "x2", "dx")).withColumn("ty", reach("y1", "y2", "dy"))
-    c = cells.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
+    met = met.join(suns, F.lit(True), "cross").withColumn("dx", away * F.col("east")).withColumn("dy", away * F.col("north"))
+    for k in "xy":
+        met = met.where((F.col(k) >= F.col(f"lo{k}") + F.least(F.lit(0.0), f"d{k}") - 1e-3) & (F.col(k) <= F.col(f"hi{k}") + F.greatest(F.lit(0.0), f"d{k}") + 1e-3))
+    n = F.size("ring")
+    met = met.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("a", F.get("ring", F.col("i"))).withColumn("b", F.get("ring", (F.col("i") + 1) % n))
+    met = met.select("id", "bin", "x", "y", "dx", "dy", *[F.col(f"{p}.{k}").alias(f"{k}{j}") for p, j in (("a", 1), ("b", 2)) for k in "xy"])
+    met = met.withColumn("det", (F.col("x2") - F.col("x1")) * F.col("dy") - (F.col("y2") - F.col("y1")) * F.col("dx")).where("det <> 0")
     u = ((F.col("x") - F.col("x1")) * F.col("dy") - (F.col("y") - F.col("y1")) * F.col("dx")) / F.col("det")
     t = ((F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))) / F.col("det")
-    swept = c.join(e, ["tx", "ty"]).where(u.between(0, 1) & t.between(0, 1)).select("id", "bin")
+    swept = met.where(u.between(0, 1) & t.between(0, 1)).select("id", "bin")
     under = point_in_polygon(cells, up, tile).select("id").distinct().join(suns.select("bin"), F.lit(True), "cross")
     dark = swept.unionByName(under).distinct().select("id.cx", "id.cy", "bin")
     total = probes.groupBy("line").agg(F.sum("k").alias("n"))
